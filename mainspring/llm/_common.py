@@ -46,6 +46,18 @@ def drop_materialised(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def by_ids(docs: DataFrame, ids: DataFrame, how: str, most: int = 500_000) -> DataFrame:
+    """docs semi or anti joined with the ids of a one-column table, null matching null.
+
+    The ids are written and counted first: up to `most` of them are broadcast, so the texts
+    stay where they are; more are joined by a shuffle.
+    """
+    column = ids.columns[0]
+    ids = materialise(ids.distinct())
+    side = F.broadcast(ids) if ids.count() <= most else ids
+    return docs.join(side, docs["doc_id"].eqNullSafe(ids[column]), how)
+
+
 def remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo; null for a null id."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, texts
+from ._common import by_ids, materialise, texts
 
 TOKEN = re.compile(r"[^\W_]+")
 MATCH, MISMATCH, GAP = 2, -1, 1
@@ -220,5 +220,5 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = 4, spread: int = 4,
 
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """docs without the rows that hold a test item; rows with a null id are judged by no pair and stay."""
-    bad = contaminated(docs, items, **options).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("_bad"), "left_anti")
+    bad = contaminated(docs, items, **options).where(F.col("doc_id").isNotNull()).select("doc_id")
+    return by_ids(docs, bad, "left_anti")

@@ -112,7 +112,7 @@ def train(docs: DataFrame, per_class: int = 500, seed: int = 11) -> LanguageMode
     rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), 3) != 1))
     keys, _ = class_sample(rows.select("doc_id", "lang"), "doc_id", "lang", per_class, seed)
     ids = keys.select(F.col("doc_id").alias("_id")).distinct()
-    sample = rows.join(F.broadcast(ids), F.col("doc_id") == F.col("_id"), "left_semi").limit(8 * per_class * 64)
+    sample = rows.select("doc_id", "text", "lang").join(F.broadcast(ids), F.col("doc_id") == F.col("_id"), "left_semi").limit(512 * per_class)
 
     def extract(batch):
         own, langs, x = texts(batch), texts(batch, "lang"), []
@@ -121,7 +121,7 @@ def train(docs: DataFrame, per_class: int = 500, seed: int = 11) -> LanguageMode
             x.append(features(own[i]).astype(np.float16).tobytes())
         return {"id": [batch.column("doc_id")[i].as_py() for i in keep], "lang": [langs[i] for i in keep], "x": x}
 
-    got = arrow_map(sample.select("doc_id", "text", "lang"), extract, "id long, lang string, x binary").toPandas()
+    got = arrow_map(sample, extract, "id long, lang string, x binary").toPandas()
     if not len(got):
         return None
     got = got.sort_values(["id", "lang"], kind="stable")
@@ -157,3 +157,20 @@ def identify_language(docs: DataFrame, model: LanguageModel | None = None, per_c
 
     rows = docs.select("doc_id", "text", held_out(F.col("doc_id"), 3, 1).alias("held_out"))
     return arrow_map(rows, predict, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean, runner_up string")
+
+
+def keep_known(docs: DataFrame, model: LanguageModel | None = None, per_class: int = 500) -> DataFrame:
+    """docs, all columns as they are, without the rows whose language is `und`.
+
+    The rule is that of identify_language(): null texts and those without a letter go, and all
+    go if there is nothing to learn from. No row moves, so nothing is shuffled.
+    """
+    import pyarrow as pa
+
+    known = (model or train(docs, per_class)) is not None
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([known and has_letter(t) for t in texts(batch)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

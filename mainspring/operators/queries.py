@@ -239,7 +239,7 @@ def _occurs(clause):
         own = table(spark, sf_dir, "lineitem").where("l_linenumber <= 7").groupBy(F.col("l_orderkey").alias("ORDER-KEY")).agg(lines.alias("LINES"))
         own = own.withColumn("LINES", F.slice("LINES", 1, 7)).withColumn("LINE-COUNT", F.size("LINES"))
         out = decode_records(encode_records(own, f), f)
-        flat = out.select(F.col("ORDER-KEY").cast("long").alias("orderkey"), F.col("LINE-COUNT").cast("int").alias("n"), F.posexplode("LINES").alias("k", "x"))
+        flat = out.select(F.col("ORDER-KEY").cast("long").alias("orderkey"), F.col("LINE-COUNT").cast("int").alias("n"), F.posexplode_outer("LINES").alias("k", "x"))
         return flat.where("k < n").select("orderkey", F.col("x.LINE-NUMBER").cast("long").alias("linenumber"), F.col("x.PART").cast("long").alias("partkey"), F.col("x.QUANTITY").cast("long").alias("quantity"))
 
     return run

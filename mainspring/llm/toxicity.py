@@ -17,41 +17,41 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, class_sample, fit_platt, held_out, remainder, sigmoid, texts
+from ._common import arrow_map, class_sample, fit_platt, held_out, materialise, remainder, sigmoid, texts
 
 WORDS = re.compile(r"[^\W\d_]+")
 BLOCK = 64
 
 
-def term_counts(text: str | None, prefix: int = 5) -> Counter:
+def term_counts(text: str | None, prefixes: tuple = (5,)) -> Counter:
     """Counts of words, and of the first letters of longer ones, marked with a star."""
     words = Counter(WORDS.findall((text or "").lower()))
     out = Counter(words)
     for w, n in words.items():
-        if len(w) >= prefix:
-            out[w[:prefix] + "*"] += n
+        for k in prefixes:
+            if len(w) >= k:
+                out[w[:k] + "*"] += n
     return out
 
 
-def select_terms(bags: list[set], labels: np.ndarray, most: int) -> list[str]:
-    """The terms with the largest likelihood ratio against the labels, at least in part surprising."""
-    n1, n0 = int(labels.sum()), int((1 - labels).sum())
-    ones, zeros = Counter(), Counter()
-    for bag, y in zip(bags, labels, strict=True):
-        (ones if y else zeros).update(bag)
-    scored = []
-    for t, a in ones.items():
-        b = zeros[t]
-        if a < 3 or a * n0 <= 3 * b * n1:
-            continue
-        g = 0.0
-        for seen, total in ((a, n1), (b, n0)):
-            for part, share in ((seen, (a + b) / (n1 + n0)), (total - seen, 1 - (a + b) / (n1 + n0))):
-                if part and share:
-                    g += 2 * part * np.log(part / (total * share))
-        if g > 20:
-            scored.append((-g, t))
-    return [t for _, t in sorted(scored)[:most]]
+def ratio(ones: int, zeros: int, n1: int, n0: int) -> float:
+    """Likelihood ratio of a term against the labels; 0 if it is rare or speaks for label 0."""
+    if ones < 3 or ones * n0 <= 3 * zeros * n1:
+        return 0.0
+    share, g = (ones + zeros) / (n1 + n0), 0.0
+    for seen, total in ((ones, n1), (zeros, n0)):
+        for part, q in ((seen, share), (total - seen, 1 - share)):
+            if part and q:
+                g += 2 * part * np.log(part / (total * q))
+    return g
+
+
+def select_terms(bags: DataFrame, n1: int, n0: int, most: int, least: float = 20.0) -> list[str]:
+    """The terms of the sample (y, t) with the largest ratios; only those that may count are fetched."""
+    seen = bags.select("y", F.explode("t").alias("w")).groupBy("w").agg(F.sum("y").alias("a"), F.count("*").alias("n"))
+    seen = seen.where((F.col("a") >= 3) & (F.col("a") * n0 > 3 * (F.col("n") - F.col("a")) * n1))
+    scored = [(-g, r["w"]) for r in seen.toLocalIterator() if (g := ratio(r["a"], r["n"] - r["a"], n1, n0)) > least]
+    return [w for _, w in sorted(scored)[:most]]
 
 
 @dataclass
@@ -143,11 +143,18 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, terms: int
         own = [term_counts(t) for t in texts(batch)]
         return {"id": batch.column("doc_id"), "y": batch.column("y"), "t": [list(b) for b in own], "n": [list(b.values()) for b in own]}
 
-    got = arrow_map(sample, bags, "id long, y int, t array<string>, n array<int>").toPandas().sort_values(["id", "y"], kind="stable")
-    y = got["y"].to_numpy(int)
-    if not len(y) or y.min() == y.max():
+    every = materialise(arrow_map(sample, bags, "id long, y int, t array<string>, n array<int>"))
+    size = {r["y"]: r["count"] for r in every.groupBy("y").count().collect()}
+    if len(size) < 2:
         return None
-    chosen = {t: i for i, t in enumerate(select_terms([set(t) for t in got["t"]], y, terms))}
+    chosen = {t: i for i, t in enumerate(select_terms(every, size[1], size[0], terms))}
+
+    def only_chosen(batch):
+        own = [{w: k for w, k in zip(t, n, strict=True) if w in chosen} for t, n in zip(batch.column("t").to_pylist(), batch.column("n").to_pylist(), strict=True)]
+        return {"id": batch.column("id"), "y": batch.column("y"), "t": [list(b) for b in own], "n": [list(b.values()) for b in own]}
+
+    got = arrow_map(every, only_chosen, "id long, y int, t array<string>, n array<int>").toPandas().sort_values(["id", "y"], kind="stable")
+    y = got["y"].to_numpy(int)
 
     def frequency(batches):
         import pyarrow as pa

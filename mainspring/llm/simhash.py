@@ -141,14 +141,12 @@ def candidate_edges(prints: DataFrame, radius: int, bucket_rows: int = 4096) ->
     keyed = prints.select("fp", F.posexplode(F.array(*keys)).alias("t", "k"))
     sizes = keyed.groupBy("t", "k").agg(F.count("*").alias("n"))
     hot = sizes.where(F.col("n") > bucket_rows).select(F.col("t").alias("ht"), F.col("k").alias("hk"), F.ceil(F.col("n") / (bucket_rows // 2)).cast("int").alias("c"))
-    shape = "t int, k long, g int, fp long, side int"
     if hot.isEmpty():
         dealt = keyed.select("t", "k", F.lit(0).alias("g"), "fp", F.lit(0).alias("side"))
     else:
         c, own = F.coalesce("c", F.lit(1)), F.pmod(F.xxhash64("fp"), F.coalesce("c", F.lit(1))).cast("int")
         cell = F.transform(F.sequence(F.lit(0), c - 1), lambda j: F.struct((F.least(own, j) * c + F.greatest(own, j)).alias("g"), F.when(j == own, 0).when(own < j, 1).otherwise(2).alias("side")))
         dealt = keyed.join(hot, (F.col("t") == F.col("ht")) & (F.col("k") == F.col("hk")), "left").select("t", "k", "fp", F.explode(cell).alias("x")).select("t", "k", F.col("x.g").alias("g"), "fp", F.col("x.side").alias("side"))
-    del shape
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return dealt.repartition(n, "t", "k", "g").sortWithinPartitions("t", "k", "g").mapInArrow(_bucket_edges(radius), "u long, v long")
 
@@ -212,4 +210,5 @@ def assign_components(own: DataFrame, radius: int, bucket_rows: int) -> DataFram
     head = linked.groupBy("root").agg(F.min("least").alias("component")).withColumnRenamed("root", "head")
     named = linked.select("fp", "root").join(head, F.col("root") == F.col("head")).select(F.col("fp").alias("f"), "component")
     named = prints.join(named, F.col("fp") == F.col("f"), "left").select(F.col("fp").alias("f"), F.coalesce("component", "least").alias("component_id"))
+    named = materialise(named)  # so that both sides of the join below come straight from a shuffle and a hot fingerprint can be split
     return own.join(named, F.col("fp") == F.col("f"), "left").select("doc_id", "fp", "component_id")

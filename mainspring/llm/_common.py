@@ -89,13 +89,19 @@ def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
     arrow = _arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_pydict(fn(batch), schema=arrow)
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_pydict(fn(batch), schema=arrow)
 
     return df.mapInArrow(run, schema)
 
 
+def slices(batches, rows: int = 256):
+    """The batches in parts of a few rows, so few texts at a time become Python strings."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _arrow_schema(schema) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 

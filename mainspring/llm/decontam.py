@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import by_ids, materialise, texts
+from ._common import by_ids, materialise, slices, texts
 
 TOKEN = re.compile(r"[^\W_]+")
 MATCH, MISMATCH, GAP = 2, -1, 1
@@ -132,7 +132,7 @@ def _blocks(items: DataFrame, block_items: int, block_chars: int) -> list[list[t
 def _scan(docs: DataFrame, block: Items) -> DataFrame:
     """The texts that have any n-gram of the block, with the numbers of those n-grams."""
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             keep, hits, own = [], [], texts(batch)
             for i, t in enumerate(own):
                 found = block.found(block.encode(tokens(t)))
@@ -161,7 +161,7 @@ def _align(found: DataFrame, block: Items, share: float, enough: int) -> DataFra
 
     def run(batches):
         known: dict[tuple, tuple] = {}
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
                 low = text.lower()

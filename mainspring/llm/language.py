@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, class_sample, held_out, remainder, sigmoid, texts
+from ._common import arrow_map, class_sample, held_out, remainder, sigmoid, slices, texts
 
 BIGRAMS, TRIGRAMS = 1 << 10, 1 << 12
 WIDTH = BIGRAMS + TRIGRAMS
@@ -170,7 +170,7 @@ def keep_known(docs: DataFrame, model: LanguageModel | None = None, per_class: i
     known = (model or train(docs, per_class)) is not None
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array([known and has_letter(t) for t in texts(batch)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

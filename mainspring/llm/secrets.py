@@ -14,7 +14,7 @@ import re
 import zstandard
 from pyspark.sql import DataFrame
 
-from ._common import arrow_map, texts
+from ._common import arrow_map, slices, texts
 
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -116,7 +116,7 @@ def redact(docs: DataFrame, mask: str = "[secret]", least: float = 0.6) -> DataF
     schema = docs.schema
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             novelty, out = Novelty(), []
             for t in texts(batch):
                 spans = base_spans(t) if t else []

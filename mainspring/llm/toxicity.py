@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, class_sample, fit_platt, held_out, materialise, remainder, sigmoid, texts
+from ._common import arrow_map, class_sample, fit_platt, held_out, materialise, remainder, sigmoid, slices, texts
 
 WORDS = re.compile(r"[^\W\d_]+")
 BLOCK = 64
@@ -160,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, terms: int
         import pyarrow as pa
 
         n, rows, empty = np.zeros(len(chosen), np.int64), 0, True
-        for batch in batches:
+        for batch in slices(batches):
             empty = False
             for t in texts(batch):
                 rows += 1

@@ -44,31 +44,36 @@ _PICTURE = re.compile(r"[^\s]+?(?=[.,;]?(?:\s|$))")
 
 
 def _fixed_lines(source: str) -> tuple[str, list[tuple[int, int]], list[Token]]:
-    """Free text of a fixed-format source, the place of every line of it, and side tokens."""
+    """Free text of a fixed-format source, the line each of its lines starts on, and side tokens.
+
+    A literal that is continued fills its line up to column 72, blanks included.
+    """
     out: list[str] = []
     places: list[tuple[int, int]] = []
     aside: list[Token] = []
+    piece, room = 0, 65  # where the last physical line starts in out[-1], and its columns
     for n, raw in enumerate(source.split("\n"), 1):
         line = raw.rstrip("\r").expandtabs(8)
         mark, area = line[6:7], line[7:72]
         if mark in ("*", "/"):
-            aside.append(Token(n, 7, COMMENT, line[6:].rstrip()))
+            aside.append(Token(n, 7, COMMENT, line[6:72].rstrip()))
         elif mark in ("D", "d"):
             aside.append(Token(n, 7, DEBUG, area.rstrip()))
         elif mark == "-" and out:
-            rest = area.lstrip()
-            before = out[-1]
-            quote = _open_quote(before)
+            rest, quote = area.lstrip(), _open_quote(out[-1])
             if quote:
                 if not rest.startswith(quote):
                     raise errors.UnterminatedStringError(f"line {n}: a continued literal must start with {quote}")
-                out[-1] = before.ljust(places[-1][1]) + rest[1:]
+                out[-1] = out[-1][:piece] + out[-1][piece:].ljust(room)
+                rest = rest[1:]
             else:
-                out[-1] = before.rstrip() + rest
-            places[-1] = (places[-1][0], len(out[-1].rstrip()) if not _open_quote(out[-1]) else len(out[-1]) - len(rest[1:]) + len(rest[1:].ljust(65 - (len(area) - len(rest)) - 1)))
+                out[-1] = out[-1].rstrip()
+            piece, room = len(out[-1]), 65 - (len(area) - len(rest))
+            out[-1] += rest.rstrip() if not _open_quote(out[-1] + rest) else rest
         else:
             out.append(area.rstrip() if not _open_quote(area) else area)
-            places.append((n, 65))
+            places.append((n, 0))
+            piece, room = 0, 65
     return "\n".join(out), places, aside
 
 

@@ -15,7 +15,7 @@ def read_stream(spark: SparkSession, path: str, fmt: RecordFormat, mode: str = "
     ones belong to the batch source, which splits them.
     """
     length = fmt.layout.length
-    files = spark.readStream.format("binaryFile").option("pathGlobFilter", glob).load(path)
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", glob).load(path)
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.length("content") / length).cast("int") - 1))
     cut = files.where(F.length("content") > 0).select(F.col("path").alias("_path"), F.posexplode(F.transform(starts, lambda i: F.substring("content", i * length + 1, F.lit(length)))).alias("_seq", "value"))
     return decode_records(cut, fmt, "value", mode, keep=("_path", "_seq"))

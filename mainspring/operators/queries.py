@@ -6,13 +6,14 @@ or decoded again and held against the column.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import picture
 from ..functions.encoding import SIGN_TABLES, STAIRCASES, Encoding
 from ..plans import copybook, lexer
 from ..plans.layout import DIALECTS, Dialect, lay_out
+from . import source
 from .records import RecordFormat, decode_records, encode_records, fault_column
 
 CENTS = "CAST(round(%s * 100) AS BIGINT)"
@@ -367,8 +368,81 @@ TOKENS_SQL = """SELECT * FROM (VALUES (1,1,'Number','01'),(1,4,'Identifier','A')
 (1,20,'Comment','*> note'),(2,4,'Number','05'),(2,7,'Identifier','B'),(2,9,'Identifier','VALUE'),(2,15,'String','''x y'''),(2,20,'Symbol','.')) t(line,col,type,value)"""
 
 
+def record_window(spark, sf_dir):
+    """The three largest balances of each nation, ties to the smaller key."""
+    own = decode_records(customer_records(spark, sf_dir), _ibm_customers())
+    order = Window.partitionBy("CUST-NATION").orderBy(F.desc("CUST-BALANCE"), "CUST-KEY")
+    top = own.withColumn("place", F.row_number().over(order)).where("place <= 3")
+    return top.select(F.col("CUST-NATION").cast("long").alias("nation"), F.col("place").cast("long").alias("place"), F.col("CUST-KEY").cast("long").alias("custkey"))
+
+
+def record_rollup(spark, sf_dir):
+    own = decode_records(customer_records(spark, sf_dir), _ibm_customers())
+    return own.rollup(F.col("CUST-NATION").cast("long").alias("nation"), F.col("CUST-SEGMENT").alias("segment")).agg((F.sum("CUST-BALANCE") * 100).cast("long").alias("cents"))
+
+
+def record_anti_join(spark, sf_dir):
+    """Customers without an order whose key is divisible by 40."""
+    own = decode_records(customer_records(spark, sf_dir), _ibm_customers()).select(F.col("CUST-KEY").cast("long").alias("custkey"))
+    orders = table(spark, sf_dir, "orders").where("o_orderkey % 40 = 0").select("o_custkey")
+    return own.join(orders, own["custkey"] == orders["o_custkey"], "left_anti")
+
+
+def sync_layout(spark, sf_dir):
+    text = "01 R. 05 A PIC X. 05 B PIC 9(9) COMP SYNC. 05 C OCCURS 2. 10 D PIC X. 10 E PIC 9(4) COMP SYNC. 05 F COMP-2 SYNC."
+    rows = [(i["name"], i["offset"], i["length"], i["slack"]) for i in lay_out(copybook.records(text)[0], DIALECTS["ibm"]).rows()]
+    return spark.createDataFrame(rows, "name string, start int, length int, slack int")
+
+
+def odo_layout(spark, sf_dir):
+    """Where the item after a DEPENDING ON table starts, for each count."""
+    own = lay_out(copybook.records("01 R. 05 N PIC 9(2). 05 A PIC X(3) OCCURS 1 TO 5 DEPENDING ON N. 05 TAIL PIC X(4).")[0], DIALECTS["ibm"])
+    return spark.createDataFrame([(n, own.rows({"A": n})[-1]["offset"], own.rows({"A": n})[0]["length"]) for n in range(1, 6)], "n int, tail int, length int")
+
+
+PROGRAMS = (
+    ("a.cob", "IDENTIFICATION DIVISION. PROGRAM-ID. A. PROCEDURE DIVISION. M. CALL 'B' USING X. IF X = 1 CALL 'C' ELSE DISPLAY X. PERFORM M 2 TIMES. STOP RUN."),
+    ("b.cob", "IDENTIFICATION DIVISION. PROGRAM-ID. B. PROCEDURE DIVISION. M. COMPUTE A = B + C * 2. CALL 'C'. CALL 'C'. GOBACK."),
+    ("bad.cob", "IDENTIFICATION DIVISION. PROGRAM-ID. B. PROCEDURE DIVISION. M. MOVE."),
+)
+
+
+def _programs(spark):
+    return spark.createDataFrame([p for p in PROGRAMS if p[0] != "bad.cob"], "path string, content string")
+
+
+def ast_verb_counts(spark, sf_dir):
+    return source.verb_counts(source.ast_nodes(_programs(spark)))
+
+
+def ast_call_graph(spark, sf_dir):
+    return source.call_graph(source.ast_nodes(_programs(spark)))
+
+
+def ast_expression(spark, sf_dir):
+    """Operators of an expression and the operators right below them, by the tree's parent links."""
+    nodes = source.ast_nodes(_programs(spark)).where("kind = 'BinaryExpr'")
+    top = nodes.select("path", "node_id", F.col("attrs")["op"].alias("outer_op"))
+    sub = nodes.select(F.col("path").alias("p"), F.col("parent_id").alias("up"), F.col("attrs")["op"].alias("inner_op"))
+    return top.join(sub, (F.col("path") == F.col("p")) & (F.col("node_id") == F.col("up"))).select("path", "outer_op", "inner_op")
+
+
+def source_printed(spark, sf_dir):
+    one = spark.createDataFrame([("x", "identification division. program-id. a. procedure division. m. if a > 1 display 'b' end-if.")], "path string, content string")
+    return source.printed(one).select("text")
+
+
+def source_errors(spark, sf_dir):
+    return source.parse_errors(spark.createDataFrame(PROGRAMS, "path string, content string")).select("path", "kind")
+
+
+def copybook_entry_rows(spark, sf_dir):
+    one = spark.createDataFrame([("c", "01 R. 05 A PIC 9(4) COMP-3. 05 FILLER PIC X OCCURS 2 TO 5 DEPENDING ON A. 05 B REDEFINES A PIC X(3).")], "path string, content string")
+    return source.copybook_entries(one).drop("path", "line")
+
+
 def _both() -> tuple[dict, dict]:
-    own = {f.__name__: f for f in (record_decode_agg, record_filter_project, record_join, packed_encode, packed_unsigned_even, packed_roundtrip, comp6_encode, comp6_roundtrip, comp5_full_range, alnum_cp037, alnum_cp037_bytes, redefines_union, level88, renames, fault_report, drop_malformed, picture_info, layout_items, tokens)}
+    own = {f.__name__: f for f in (record_decode_agg, record_filter_project, record_join, packed_encode, packed_unsigned_even, packed_roundtrip, comp6_encode, comp6_roundtrip, comp5_full_range, alnum_cp037, alnum_cp037_bytes, redefines_union, level88, renames, fault_report, drop_malformed, picture_info, layout_items, tokens, record_window, record_rollup, record_anti_join, sync_layout, odo_layout, ast_verb_counts, ast_call_graph, ast_expression, source_printed, source_errors, copybook_entry_rows)}
     sql = {
         "record_decode_agg": f"SELECT CAST(c_nationkey AS BIGINT) AS nation, count(*) AS customers, CAST(sum({CENTS % 'c_acctbal'}) AS BIGINT) AS balance_cents FROM customer GROUP BY 1",
         "record_filter_project": "SELECT c_custkey AS custkey, rtrim(c_name) AS name FROM customer WHERE c_mktsegment = 'BUILDING'",
@@ -386,6 +460,17 @@ def _both() -> tuple[dict, dict]:
         "renames": "SELECT c_custkey AS custkey, lpad(CAST(c_custkey AS VARCHAR), 9, '0') || 'F' AS key_bytes, 17::BIGINT AS bytes FROM customer",
         "fault_report": "SELECT c_custkey, 'V' AS field, CASE WHEN c_custkey % 7 = 0 THEN 6 ELSE 9 END::BIGINT AS at, CASE WHEN c_custkey % 7 = 0 THEN 'packed_digit' ELSE 'packed_sign' END AS kind FROM customer WHERE c_custkey % 7 = 0 OR c_custkey % 11 = 0",
         "drop_malformed": "SELECT c_custkey AS custkey FROM customer WHERE c_custkey % 3 <> 0",
+        "record_window": f"SELECT nation, place, c_custkey AS custkey FROM (SELECT CAST(c_nationkey AS BIGINT) AS nation, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY {CENTS % 'c_acctbal'} DESC, c_custkey) AS place FROM customer) WHERE place <= 3",
+        "record_rollup": f"SELECT nation, segment, CAST(sum(v) AS BIGINT) AS cents FROM (SELECT CAST(c_nationkey AS BIGINT) AS nation, rtrim(c_mktsegment) AS segment, {CENTS % 'c_acctbal'} AS v FROM customer) GROUP BY ROLLUP (nation, segment)",
+        "record_anti_join": "SELECT c_custkey AS custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 40 = 0)",
+        "sync_layout": "SELECT * FROM (VALUES ('R',0,24,0),('A',0,1,0),('B',4,4,3),('C',8,4,0),('D',8,1,0),('E',10,2,1),('F',16,8,0)) t(name,start,length,slack)",
+        "odo_layout": "SELECT CAST(n AS INTEGER) AS n, CAST(2 + 3 * n AS INTEGER) AS tail, CAST(6 + 3 * n AS INTEGER) AS length FROM range(1, 6) t(n)",
+        "ast_verb_counts": "SELECT * FROM (VALUES ('CallStatement', 4::BIGINT),('IfStatement',1),('DisplayStatement',1),('PerformStatement',1),('StopStatement',1),('ComputeStatement',1),('GobackStatement',1)) t(kind, statements)",
+        "ast_call_graph": "SELECT * FROM (VALUES ('a.cob','B',1::BIGINT),('a.cob','C',1),('b.cob','C',2)) t(path, called, calls)",
+        "ast_expression": "SELECT 'b.cob' AS path, '+' AS outer_op, '*' AS inner_op",
+        "source_printed": "SELECT 'IDENTIFICATION DIVISION.' || chr(10) || 'PROGRAM-ID. a.' || chr(10) || 'PROCEDURE DIVISION.' || chr(10) || 'm.' || chr(10) || '    IF a > 1' || chr(10) || '        DISPLAY ' || chr(39) || 'b' || chr(39) || chr(10) || '    END-IF.' || chr(10) AS text",
+        "source_errors": "SELECT 'bad.cob' AS path, 'UnexpectedTokenError' AS kind",
+        "copybook_entry_rows": "SELECT * FROM (VALUES (0,1,'R',NULL,NULL,NULL,NULL::INTEGER,NULL::INTEGER,NULL),(1,5,'A','9(4)','comp-3',NULL,NULL,NULL,NULL),(2,5,NULL,'X',NULL,NULL,2,5,'A'),(3,5,'B','X(3)',NULL,'A',NULL,NULL,NULL)) t(seq,level,name,picture,usage,redefines,occurs_min,occurs_max,depending)",
         "picture_info": PICTURE_SQL, "layout_items": LAYOUT_SQL, "tokens": TOKENS_SQL,
     }
     for sign in SIGN_TABLES:

@@ -54,9 +54,14 @@ DIVISIONS = ("IDENTIFICATION", "ENVIRONMENT", "DATA", "PROCEDURE")
 
 class Parser:
     def __init__(self, tokens: list[Token]) -> None:
-        self.all = tokens
-        self.tokens = [t for t in tokens if t.type != COMMENT]
-        self.at = 0
+        self.tokens: list[Token] = []
+        self.comments: list[tuple[int, Token]] = []  # with the place of the token that follows
+        for t in tokens:
+            if t.type == COMMENT:
+                self.comments.append((len(self.tokens), t))
+            else:
+                self.tokens.append(t)
+        self.at = self.noted = 0
 
     # tokens
 
@@ -105,6 +110,16 @@ class Parser:
         t = self.peek()
         return Node(kind, t.line if t else 0, t.column if t else 0, {k: str(v) for k, v in attrs.items() if v not in (None, "", False)})
 
+    def noting(self, kind: str, /, **attrs) -> Node:
+        """A node that takes the comments before it, each on a line of its own."""
+        n = self.node(kind, **attrs)
+        while self.noted < len(self.comments) and self.comments[self.noted][0] <= self.at:
+            t = self.comments[self.noted][1]
+            text = t.value.lstrip("*>/").strip()
+            n.child("comment", Node("Comment", t.line, t.column, {"text": text}).add(f"*> {text}".rstrip())).add(LINE)
+            self.noted += 1
+        return n
+
     # operands and expressions
 
     def word(self) -> Node:
@@ -186,8 +201,9 @@ class Parser:
         while True:
             t = self.peek()
             if t is not None and t.type == NUMBER and t.value[0] in "+-":
-                self.tokens[self.at : self.at + 1] = [Token(t.line, t.column, SYMBOL, t.value[0]), Token(t.line, t.column + 1, NUMBER, t.value[1:])]
-                t = self.peek()
+                self.tokens[self.at] = Token(t.line, t.column + 1, NUMBER, t.value[1:])
+                left = Node("BinaryExpr", left.line, left.column, {"op": t.value[0]}).child("left", left).add(t.value[0]).child("right", self.term())
+                continue
             if t is None or not (t.is_symbol("+") or t.is_symbol("-")):
                 return left
             left = Node("BinaryExpr", left.line, left.column, {"op": self.next().value}).child("left", left).add(t.value).child("right", self.term())
@@ -652,7 +668,7 @@ class Parser:
             s.attrs["bool"] = word
             return s.add(word)
         if kind == "EvaluateObject" and self.sees("NOT"):
-            start = self.at
+            start, kept = self.at, list(self.tokens)
             self.at += 1
             try:
                 value = self.expr()
@@ -662,7 +678,7 @@ class Parser:
                     return self._through(s)
             except errors.MainframeError:
                 pass
-            self.at = start
+            self.at, self.tokens = start, kept
         start, kept = self.at, list(self.tokens)
         try:
             value = self.expr()
@@ -890,7 +906,7 @@ class Parser:
         return self.sees(*names) and self.sees("DIVISION", ahead=1)
 
     def program(self) -> Node:
-        n = self.node("Program")
+        n = self.noting("Program")
         if not self.division("IDENTIFICATION", "ID"):
             self.fail()
         n.child("division", self.identification())
@@ -925,7 +941,7 @@ class Parser:
         return False
 
     def _header(self, kind: str, name: str) -> Node:
-        n = self.node(kind)
+        n = self.noting(kind)
         self.at += 2
         self.need(".")
         return n.add(name + " DIVISION.")
@@ -1023,7 +1039,7 @@ class Parser:
         """Data description entries; the indentation follows their levels."""
         stack: list[int] = []
         while (t := self.peek()) is not None and t.type == NUMBER and t.value.isdigit():
-            start = self.at
+            e, start = self.noting("DataDescriptionEntry"), self.at
             while not self.symbol("."):
                 self.next()
             own = self.tokens[start : self.at + 1]
@@ -1040,7 +1056,7 @@ class Parser:
                 stack.append(level)
             depth = len(stack) if level == 88 else max(0, len(stack) - 1)
             name = own[1].value if own[1].type == WORD else ""
-            e = Node("DataDescriptionEntry", t.line, t.column, {"level": f"{level:02d}", "name": name, "clauses": " ".join(_clause_text(own[1:-1]))})
+            e.attrs |= {"level": f"{level:02d}", "name": name, "clauses": " ".join(_clause_text(own[1:-1]))}
             e.add(f"{level:02d}", e.attrs["clauses"], ".")
             n.add(*([IN] * depth), LINE).child(role, e).add(*([OUT] * depth))
         return n
@@ -1065,7 +1081,7 @@ class Parser:
         return n
 
     def procedure(self) -> Node:
-        n = self.node("ProcedureDivision").add("PROCEDURE DIVISION")
+        n = self.noting("ProcedureDivision").add("PROCEDURE DIVISION")
         self.at += 2
         if self.take("USING"):
             n.add("USING")
@@ -1095,7 +1111,7 @@ class Parser:
         return n
 
     def _section(self, declarative: bool) -> Node:
-        s = self.node("DeclarativeSection" if declarative else "Section").child("name", self.procedure_name()).add("SECTION")
+        s = self.noting("DeclarativeSection" if declarative else "Section").child("name", self.procedure_name()).add("SECTION")
         self.must("SECTION")
         t = self.peek()
         if t is not None and t.type == NUMBER:
@@ -1116,14 +1132,14 @@ class Parser:
         return s
 
     def _paragraph(self) -> Node:
-        p, t = self.node("Paragraph"), self.peek()
+        p, t = self.noting("Paragraph"), self.peek()
         if t.type in (WORD, NUMBER) and self.symbol(".", ahead=1) and t.value.upper() not in ("CONTINUE", "GOBACK", "EXIT"):
             p.child("name", self.procedure_name()).add(".")
             self.at += 1
         p.add(IN)
-        any_ = bool(p.children())
+        any_ = any(r == "name" for r, _ in p.children())
         while (t := self.peek()) is not None and t.type == WORD and t.value.upper() in VERBS:
-            s = self.node("Sentence")
+            s = self.noting("Sentence")
             for k, x in enumerate(self.statements()):
                 s.add(LINE if k else "").child("statement", x)
             self.need(".")

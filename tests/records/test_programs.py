@@ -108,3 +108,13 @@ def test_source_tables(spark, tmp_path):
     assert source.copybook_entries(spark.createDataFrame([("x", "01 R. 05 A PIC X OCCURS 3.")], "path string, content string")).count() == 2
     bad = source.parse_errors(source.read_source(spark, f"{tmp_path}/*.cob")).collect()
     assert [r.kind for r in bad] == ["UnexpectedTokenError"]
+
+
+def test_comments_go_to_the_node_that_follows():
+    text = "*> about the program\n" + HEAD.replace(". P", ".\nP") + "DATA DIVISION. WORKING-STORAGE SECTION.\n*> an item\n01 A PIC X.\nPROCEDURE DIVISION.\nM.\n*> a sentence\nDISPLAY A. *> last"
+    tree = parser.parse(text)
+    names = {n[0]: n[4] for n in parser.rows(tree)}
+    owners = [(names[n[1]], n[7]["text"]) for n in parser.rows(tree) if n[4] == "Comment"]
+    assert owners == [("Program", "about the program"), ("DataDescriptionEntry", "an item"), ("Sentence", "a sentence")]
+    shown = parser.print_source(tree)
+    assert "*> a sentence\n" in shown and tree.same(parser.parse(shown))

@@ -1,8 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Words of training texts are looked up among the words of the test items, so word n-grams that
-some item has are found in one pass. The n-grams' document frequencies over all texts pick,
-in every run of neighbouring n-grams of an item, the rarest as its seed. A text with a seed is
+some item has, in a row or around one other word, are found in one pass. Their document
+frequencies over all texts leave the rare ones of each item as its seeds. A text with a seed is
 aligned with the item around it, which also scores edited or paraphrased copies.
 """
 
@@ -28,12 +28,18 @@ def tokens(text: str | None) -> list[str]:
     return TOKEN.findall((text or "").lower())
 
 
-def grams(ids: np.ndarray, n: int) -> np.ndarray:
-    """A 64-bit hash of every n consecutive ids; ids are non-negative where it matters."""
+def patterns(n: int) -> list[tuple[int, ...]]:
+    """n words in a row, and n words around one that may differ, so single edits leave seeds."""
+    return [tuple(range(n)), tuple(k + (k >= n // 2) for k in range(n))]
+
+
+def grams(ids: np.ndarray, pattern: tuple[int, ...]) -> np.ndarray:
+    """A 64-bit hash of the ids at the pattern's offsets from every place; ids are non-negative where it matters."""
+    n = max(0, len(ids) - pattern[-1])
     x = ids.astype(np.uint64) + np.uint64(1)
-    h = np.zeros(max(0, len(x) - n + 1), np.uint64)
-    for k in range(n):
-        h = (h * _P) ^ (x[k : len(x) - n + 1 + k] * np.uint64(0xC2B2AE3D27D4EB4F))
+    h = np.full(n, pattern[-1] + 1, np.uint64)
+    for k in pattern:
+        h = (h * _P) ^ (x[k : k + n] * np.uint64(0xC2B2AE3D27D4EB4F))
         h ^= h >> np.uint64(29)
     return h
 
@@ -56,42 +62,49 @@ class Items:
             known = [m for m in members if m is not None]
             self.ids.append(min(known) if known else None)
             self.members.append(len(members))
-        self.sizes = sorted({min(n, len(s)) for s in self.seqs})
         self.n = n
-        every = [np.unique(np.concatenate([grams(s, k) for s in self.seqs if min(n, len(s)) == k])) for k in self.sizes]
+        self.patterns = sorted({p for s in self.seqs for p in self._own(s)})
+        every = [grams(s, p) for s in self.seqs for p in self._own(s)]
         self.every = np.unique(np.concatenate(every)) if every else np.zeros(0, np.uint64)
         self.seeds: dict[int, list[tuple[int, int]]] = {}
 
+    def _own(self, seq: np.ndarray) -> list[tuple[int, ...]]:
+        """The patterns that fit an item; one of its whole length if it is short."""
+        return [p for p in patterns(self.n) if p[-1] < len(seq)] or [tuple(range(len(seq)))]
+
     def encode(self, words: list[str]) -> np.ndarray:
         get = self.words.get
         return np.fromiter((get(w, -1) for w in words), np.int64, len(words))
 
     def found(self, ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each n-gram length: positions in ids and their n-grams' numbers in `every`."""
+        """For each pattern: positions in ids and their n-grams' numbers in `every`."""
         out, known = [], ids >= 0
-        for k in self.sizes:
-            if len(ids) < k:
+        for p in self.patterns:
+            n = len(ids) - p[-1]
+            if n <= 0:
                 continue
-            whole = known[: len(ids) - k + 1].copy()
-            for j in range(1, k):
-                whole &= known[j : len(ids) - k + 1 + j]
+            whole = known[:n].copy()
+            for j in p[1:]:
+                whole &= known[j : n + j]
             at = np.flatnonzero(whole)
             if len(at):
-                h = grams(np.where(known, ids, 0), k)[at]
+                h = grams(np.where(known, ids, 0), p)[at]
                 i = np.minimum(np.searchsorted(self.every, h), len(self.every) - 1)
                 hit = self.every[i] == h
                 if hit.any():
                     out.append((at[hit], i[hit]))
         return out
 
-    def choose(self, frequency: np.ndarray, spread: int) -> None:
-        """Seeds: the rarest n-gram of every `spread` neighbouring ones of each item."""
+    def choose(self, frequency: np.ndarray, common: float) -> None:
+        """Seeds: an item's n-grams that some text has, but for those in over `common` times as many as its median one."""
         self.seeds = defaultdict(list)
         for k, seq in enumerate(self.seqs):
-            h = np.searchsorted(self.every, grams(seq, min(self.n, len(seq))))
-            for at in range(0, len(h), spread):
-                best = at + int(np.argmin(frequency[h[at : at + spread]]))
-                self.seeds[int(h[best])].append((k, best))
+            for p in self._own(seq):
+                h = np.searchsorted(self.every, grams(seq, p))
+                own = frequency[h]
+                if own.any():
+                    for q in np.flatnonzero((own > 0) & (own <= common * np.median(own[own > 0]))).tolist():
+                        self.seeds[int(h[q])].append((k, q))
 
 
 def align(item: np.ndarray, doc: np.ndarray) -> tuple[int, int, int]:
@@ -191,7 +204,7 @@ def _align(found: DataFrame, block: Items, share: float, enough: int) -> DataFra
     return found.mapInArrow(run, "doc_id long, item_id long, n_items long, score double, start long, end long, seeds long")
 
 
-def contaminated(docs: DataFrame, items: DataFrame, n: int = 4, spread: int = 4, share: float = 0.5, enough: int = 40, block_items: int = 2000, block_chars: int = 8_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, n: int = 4, common: float = 4.0, share: float = 0.5, enough: int = 40, block_items: int = 2000, block_chars: int = 8_000_000) -> DataFrame:
     """Pairs of a text of docs and a test item (item_id, text) that it holds.
 
     Returns doc_id, item_id, n_items, score, start, end, seeds: score is the best alignment as
@@ -212,7 +225,7 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = 4, spread: int = 4,
         frequency = np.zeros(len(block.every), np.int64)
         for r in counts.toLocalIterator():
             frequency[r["g"]] = r["count"]
-        block.choose(frequency, spread)
+        block.choose(frequency, common)
         pairs = _align(found, block, share, enough)
         out = pairs if out is None else out.unionByName(pairs)
     return out

@@ -77,6 +77,7 @@ class Forest:
 
 def link(bucket: np.ndarray, radius: int, forest: Forest, other: np.ndarray | None = None) -> None:
     """Join all fingerprints of a bucket within the radius, or those across two chunks."""
+    bucket = np.sort(bucket) if other is None else bucket  # so x < y below sees every pair of later blocks too
     left = bucket if other is None else other
     for i in range(0, len(bucket), 512):
         a = bucket[i : i + 512]

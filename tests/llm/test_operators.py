@@ -56,6 +56,9 @@ def test_language(spark, odd, none):
     assert language.identify_language(unlearnt).first().lang_pred == "und"
     one = docs_of(spark, [(0, "some words", "en", None), (3, "more words", "en", None)])
     assert {r.lang_pred for r in language.identify_language(one).collect()} == {"en"}
+    two = docs_of(spark, [*rows, (2000, "12 34", None, None), (2001, None, "co", None)])
+    assert language.keep_known(two).count() == len(rows) and language.keep_known(unlearnt).count() == 0
+    assert {r.doc_id for r in language.keep_known(two, langs={"vo"}).collect()} == {i for i in got.index if got.lang_pred[i] == "vo"}
 
 
 @pytest.mark.parametrize("classes", [2, 4, 6, 9, 20])
@@ -337,6 +340,15 @@ def test_bucket_grid_keeps_every_link(spark):
         assert all(len(v) == 1 for v in mine.values()) and len({next(iter(v)) for v in mine.values()}) == len(mine)
 
 
+def test_buckets_of_many_blocks_keep_every_link():
+    low = np.random.default_rng(0).integers(0, 1 << 63, 1500, np.uint64)
+    high = low | np.uint64(1 << 63)
+    for order in ((high, low), (low, high)):
+        forest = simhash.Forest()
+        simhash.link(np.concatenate(order), 4, forest)
+        assert all(forest.root(a) == forest.root(b) for a, b in zip(low.tolist(), high.tolist(), strict=True))
+
+
 def test_preferences(spark):
     turn = "array<struct<turn: long, role: string, text: string>>"
     a = [(0, "user", "Hi"), (1, "assistant", "Hello"), (2, "user", "More"), (3, "assistant", "Yes é")]

@@ -129,6 +129,22 @@ def train(docs: DataFrame, per_class: int = 500, seed: int = 11) -> LanguageMode
     return fit(x, list(got["lang"]))
 
 
+def _decide(model: LanguageModel | None, own: list) -> dict[str, list]:
+    """Language, score, ambiguity margin and runner-up of each text."""
+    n = len(own)
+    lang, score, gap, second = ["und"] * n, [0.0] * n, [1.0] * n, [None] * n
+    keep = [i for i, t in enumerate(own) if has_letter(t)] if model else []
+    for at in range(0, len(keep), 256):
+        part = keep[at : at + 256]
+        p = model.probabilities(np.stack([features(own[i]) for i in part]))
+        order = np.argsort(-p, 1, kind="stable")
+        for i, q, o in zip(part, p, order, strict=True):
+            lang[i], score[i] = model.langs[o[0]], float(min(1.0, q[o[0]]))
+            if len(o) > 1:
+                second[i], gap[i] = model.langs[o[1]], float(q[o[0]] - q[o[1]])
+    return {"lang_pred": lang, "score": score, "gap": gap, "runner_up": second}
+
+
 def identify_language(docs: DataFrame, model: LanguageModel | None = None, per_class: int = 500, ambiguity: float = 0.2) -> DataFrame:
     """The language of every whole text.
 
@@ -141,36 +157,27 @@ def identify_language(docs: DataFrame, model: LanguageModel | None = None, per_c
     model = model or train(docs, per_class)
 
     def predict(batch):
-        own, n = texts(batch), batch.num_rows
-        out = {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out")}
-        lang, score, vague, second = ["und"] * n, [0.0] * n, [False] * n, [None] * n
-        keep = [i for i, t in enumerate(own) if has_letter(t)] if model else []
-        for at in range(0, len(keep), 256):
-            part = keep[at : at + 256]
-            p = model.probabilities(np.stack([features(own[i]) for i in part]))
-            order = np.argsort(-p, 1, kind="stable")
-            for i, q, o in zip(part, p, order, strict=True):
-                lang[i], score[i] = model.langs[o[0]], float(min(1.0, q[o[0]]))
-                if len(o) > 1:
-                    second[i], vague[i] = model.langs[o[1]], bool(q[o[0]] - q[o[1]] < ambiguity)
-        return out | {"lang_pred": lang, "score": score, "ambiguous": vague, "runner_up": second}
+        found = _decide(model, texts(batch))
+        vague = [g < ambiguity for g in found.pop("gap")]
+        return {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "ambiguous": vague} | found
 
     rows = docs.select("doc_id", "text", held_out(F.col("doc_id"), 3, 1).alias("held_out"))
     return arrow_map(rows, predict, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean, runner_up string")
 
 
-def keep_known(docs: DataFrame, model: LanguageModel | None = None, per_class: int = 500) -> DataFrame:
-    """docs, all columns as they are, without the rows whose language is `und`.
+def keep_known(docs: DataFrame, model: LanguageModel | None = None, per_class: int = 500, langs: set[str] | None = None) -> DataFrame:
+    """docs, all columns as they are, without the rows whose predicted language is `und` or not in langs.
 
-    The rule is that of identify_language(): null texts and those without a letter go, and all
-    go if there is nothing to learn from. No row moves, so nothing is shuffled.
+    Languages are those of identify_language(); langs None takes every learnt one. All rows go
+    if there is nothing to learn from. No row moves, so nothing is shuffled.
     """
     import pyarrow as pa
 
-    known = (model or train(docs, per_class)) is not None
+    model = model or train(docs, per_class)
 
     def run(batches):
         for batch in slices(batches):
-            yield batch.filter(pa.array([known and has_letter(t) for t in texts(batch)], pa.bool_()))
+            found = _decide(model, texts(batch))["lang_pred"]
+            yield batch.filter(pa.array([g != "und" and (langs is None or g in langs) for g in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

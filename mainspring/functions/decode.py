@@ -58,6 +58,9 @@ def decimal_type(digits: int, scale: int) -> T.DecimalType:
 def scaled(text: Column, negative: Column | None, digits: int, scale: int) -> Column:
     """Exactly `digits` decimal digits, with the picture's scale, as a decimal."""
     kind = decimal_type(digits, scale)
+    if scale == 0 and digits <= 18:  # a long is parsed in a fraction of a decimal's time
+        whole = text.cast("long")
+        return (whole if negative is None else F.when(negative, -whole).otherwise(whole)).cast(kind)
     if kind.precision == digits and kind.scale == 0 and scale != 0:
         shown = text
     elif scale < 0:
@@ -90,7 +93,8 @@ def zoned(text: Column, at: Column, digits: int, scale: int, signed: bool, sign:
     leading = leading == "leading" if isinstance(leading, str) else leading
     width = digits + (1 if signed and separate else 0)
     plain = [encoding.chars.byte(c) for c in "0123456789"]
-    to_digits = lambda t: F.translate(t, "".join(map(chr, plain)), "0123456789")
+    own = "".join(map(chr, plain))
+    to_digits = lambda t: t if own == "0123456789" else F.translate(t, own, "0123456789")
     byte = lambda k: F.hex(F.encode(F.substring(text, (k if isinstance(k, Column) else F.lit(k)) + 1, F.lit(1)), "ISO-8859-1"))
     run = lambda t: F.length(F.regexp_extract(t, "^" + char_class(plain) + "*", 0))
     if not signed:
@@ -133,14 +137,9 @@ def packed(h: Column, at: Column, digits: int, scale: int, signless: bool = Fals
     return scaled(body, sign.isin("B", "D"), digits, scale), wrong, shaped(h, "0" * pad + f"[0-9]{{{digits}}}[A-F]")
 
 
-_LETTERS = "".join(chr(0x100 + k) for k in range(32))
-
-
 def reverse_pairs(h: Column, width: int) -> Column:
     """Hex digits of `width` bytes in the opposite byte order."""
-    own = _LETTERS[: 2 * width]
-    turned = "".join(own[2 * k : 2 * k + 2] for k in reversed(range(width)))
-    return F.call_function("translate", F.lit(turned), F.lit(own), h)
+    return F.concat(*[F.substring(h, 2 * k + 1, 2) for k in reversed(range(width))])
 
 
 def stage_number(field: Column, width: int, signed: bool, encoding: Encoding, reverse: bool = True) -> Column:

@@ -297,6 +297,32 @@ def level88(spark, sf_dir):
     return _segments(spark, sf_dir).select(F.col("CUST-KEY").cast("long").alias("custkey"), F.col("BUILDS").alias("builds"), F.col("MOVES").alias("moves"), F.col("OWES").alias("owes"))
 
 
+LETTERS = """
+01 LETTERS.
+   05 CUST-KEY PIC 9(9) COMP.
+   05 LETTER PIC X OCCURS 5.
+      88 VOWEL VALUE 'A' 'E' 'I' 'O' 'U'.
+      88 EARLY VALUE 'A' THRU 'I'.
+"""
+
+
+def level88_in_tables(spark, sf_dir):
+    """Conditions of a table's items: an array of booleans each."""
+    c, f = table(spark, sf_dir, "customer"), fmt(LETTERS)
+    own = c.select(F.col("c_custkey").alias("CUST-KEY"), F.slice(F.split("c_mktsegment", ""), 1, 5).alias("LETTER"))
+    out = decode_records(encode_records(own, f), f, conditions=True)
+    held = lambda c: F.size(F.filter(c, lambda x: x)).cast("long")
+    return out.select(F.col("CUST-KEY").cast("long").alias("custkey"), held("VOWEL").alias("vowels"), held("EARLY").alias("early"))
+
+
+def integral_types(spark, sf_dir):
+    """Whole numbers as int and long columns, added up without decimals."""
+    o, f = table(spark, sf_dir, "orders"), fmt("01 R. 05 ORDER-KEY PIC 9(12) COMP-3. 05 CUST-KEY PIC 9(9) COMP. 05 PRICE PIC S9(11) COMP-3.", integral=True)
+    own = o.select(F.col("o_orderkey").alias("ORDER-KEY"), F.col("o_custkey").alias("CUST-KEY"), cents("o_totalprice").alias("PRICE"))
+    out = decode_records(encode_records(own, f), f)
+    return out.groupBy(F.col("CUST-KEY").cast("long").alias("custkey")).agg(F.sum("PRICE").alias("price"), F.max("ORDER-KEY").alias("last_order"))
+
+
 def renames(spark, sf_dir):
     return _segments(spark, sf_dir).select(F.col("CUST-KEY").cast("long").alias("custkey"), F.hex(F.substring("KEY-AND-SEGMENT", 1, 5)).alias("key_bytes"), F.length("KEY-AND-SEGMENT").cast("long").alias("bytes"))
 
@@ -442,7 +468,7 @@ def copybook_entry_rows(spark, sf_dir):
 
 
 def _both() -> tuple[dict, dict]:
-    own = {f.__name__: f for f in (record_decode_agg, record_filter_project, record_join, packed_encode, packed_unsigned_even, packed_roundtrip, comp6_encode, comp6_roundtrip, comp5_full_range, alnum_cp037, alnum_cp037_bytes, redefines_union, level88, renames, fault_report, drop_malformed, picture_info, layout_items, tokens, record_window, record_rollup, record_anti_join, sync_layout, odo_layout, ast_verb_counts, ast_call_graph, ast_expression, source_printed, source_errors, copybook_entry_rows)}
+    own = {f.__name__: f for f in (record_decode_agg, record_filter_project, record_join, packed_encode, packed_unsigned_even, packed_roundtrip, comp6_encode, comp6_roundtrip, comp5_full_range, alnum_cp037, alnum_cp037_bytes, redefines_union, level88, level88_in_tables, integral_types, renames, fault_report, drop_malformed, picture_info, layout_items, tokens, record_window, record_rollup, record_anti_join, sync_layout, odo_layout, ast_verb_counts, ast_call_graph, ast_expression, source_printed, source_errors, copybook_entry_rows)}
     sql = {
         "record_decode_agg": f"SELECT CAST(c_nationkey AS BIGINT) AS nation, count(*) AS customers, CAST(sum({CENTS % 'c_acctbal'}) AS BIGINT) AS balance_cents FROM customer GROUP BY 1",
         "record_filter_project": "SELECT c_custkey AS custkey, rtrim(c_name) AS name FROM customer WHERE c_mktsegment = 'BUILDING'",
@@ -456,6 +482,8 @@ def _both() -> tuple[dict, dict]:
         "alnum_cp037": "SELECT c_custkey, rtrim(c_name) AS name, ltrim(c_mktsegment) AS segment FROM customer",
         "alnum_cp037_bytes": "SELECT o_orderkey, regexp_replace(lpad(CAST(o_orderkey AS VARCHAR), 8, '0'), '(.)', 'F\\1', 'g') || '4040' AS bytes FROM orders",
         "redefines_union": f"SELECT 'C' AS kind, c_custkey AS id, rtrim(c_name) AS name, NULL::BIGINT AS cents FROM customer UNION ALL SELECT 'S', s_suppkey, NULL, {CENTS % 's_acctbal'} FROM supplier",
+        "level88_in_tables": "SELECT c_custkey AS custkey, length(regexp_replace(substr(c_mktsegment, 1, 5), '[^AEIOU]', '', 'g')) AS vowels, length(regexp_replace(substr(c_mktsegment, 1, 5), '[^A-I]', '', 'g')) AS early FROM customer",
+        "integral_types": f"SELECT o_custkey AS custkey, CAST(sum({CENTS % 'o_totalprice'}) AS BIGINT) AS price, max(o_orderkey) AS last_order FROM orders GROUP BY o_custkey",
         "level88": "SELECT c_custkey AS custkey, c_mktsegment = 'BUILDING' AS builds, c_mktsegment IN ('AUTOMOBILE', 'MACHINERY') AS moves, floor(c_acctbal) BETWEEN -9999999 AND -1 AS owes FROM customer",
         "renames": "SELECT c_custkey AS custkey, lpad(CAST(c_custkey AS VARCHAR), 9, '0') || 'F' AS key_bytes, 17::BIGINT AS bytes FROM customer",
         "fault_report": "SELECT c_custkey, 'V' AS field, CASE WHEN c_custkey % 7 = 0 THEN 6 ELSE 9 END::BIGINT AS at, CASE WHEN c_custkey % 7 = 0 THEN 'packed_digit' ELSE 'packed_sign' END AS kind FROM customer WHERE c_custkey % 7 = 0 OR c_custkey % 11 = 0",

@@ -26,10 +26,14 @@ class RecordFormat:
     encoding: Encoding
     trunc: str
     keep_filler: bool = False
+    integral: bool = False
 
     @staticmethod
-    def of(source: str, dialect: str | Dialect, encoding: str | Encoding, trunc: str, record: str | None = None, fixed: bool = False, resolver=None, decimal_comma: bool = False, keep_filler: bool = False) -> RecordFormat:
-        """From copybook text; dialect, encoding and trunc (std or bin) are stated, never guessed."""
+    def of(source: str, dialect: str | Dialect, encoding: str | Encoding, trunc: str, record: str | None = None, fixed: bool = False, resolver=None, decimal_comma: bool = False, keep_filler: bool = False, integral: bool = False) -> RecordFormat:
+        """From copybook text; dialect, encoding and trunc (std or bin) are stated, never guessed.
+
+        integral decodes whole numbers of up to 9 digits to int and of up to 18 to long.
+        """
         dialect = DIALECTS[dialect] if isinstance(dialect, str) else dialect
         encoding = (ENCODINGS[encoding] if isinstance(encoding, str) else encoding).validate()
         if dialect.validate().binary != encoding.binary:
@@ -40,7 +44,7 @@ class RecordFormat:
         own = [r for r in found if record is None or copybook.same_name(r.name, record)]
         if not own:
             raise errors.LevelError(f"no record {record or ''}")
-        return RecordFormat(lay_out(own[0], dialect), encoding, trunc, keep_filler)
+        return RecordFormat(lay_out(own[0], dialect), encoding, trunc, keep_filler, integral)
 
 
 def column_name(item: Item) -> str:
@@ -138,15 +142,17 @@ class _Decoder:
                 self.staged[item] = F.col(f"__raw_{k}")
         return df.withColumns(staged) if staged else df
 
+    def steps(self, table: Item) -> Column:
+        """The numbers from zero of a table's occurrences in this record, as an array."""
+        every = F.sequence(F.lit(0), F.lit(table.max_occurs - 1))
+        return every if table.control is None else F.filter(every, lambda i: i < self.count(table))
+
     def value(self, item: Item, shift: Column) -> Column:
         if item.is_table:
             stride = item.stride_.column(self.count)
             if item.control is None and item.max_occurs <= 4 and not item.field.is_group:
                 return F.array(*[self._one(item, shift + stride * k) for k in range(item.max_occurs)])
-            steps = F.sequence(F.lit(0), F.lit(item.max_occurs - 1))
-            if item.control is not None:
-                steps = F.filter(steps, lambda i: i < self.count(item))
-            return F.transform(steps, lambda i: self._one(item, shift + stride * i))
+            return F.transform(self.steps(item), lambda i: self._one(item, shift + stride * i))
         return self._one(item, shift)
 
     def _one(self, item: Item, shift: Column) -> Column:
@@ -155,6 +161,7 @@ class _Decoder:
             return F.struct(*[self.value(c, shift).alias(column_name(c)) for c in own]) if own else F.lit(None).cast("string")
         at = item.at.column(self.count) + shift
         value, _, ok = self._read(item, at, self.staged.get(item))
+        value = value.cast(decode_type(item, self.fmt)) if self.fmt.integral else value
         good = F.when((F.length(self.record) >= at + item.length_.args[0]) & ok, value)
         if not self.fail:
             return good
@@ -165,10 +172,7 @@ class _Decoder:
         """Arrays of faults of the item and those below it, in order of the layout."""
         if item.is_table:
             stride = item.stride_.column(self.count)
-            steps = F.sequence(F.lit(0), F.lit(item.max_occurs - 1))
-            if item.control is not None:
-                steps = F.filter(steps, lambda i: i < self.count(item))
-            return [F.flatten(F.transform(steps, lambda i: F.concat(*self._faults_once(item, shift + stride * i))))]
+            return [F.flatten(F.transform(self.steps(item), lambda i: F.concat(*self._faults_once(item, shift + stride * i))))]
         return self._faults_once(item, shift)
 
     def _faults_once(self, item: Item, shift: Column) -> list[Column]:
@@ -210,6 +214,8 @@ def decode_type(item: Item, fmt: RecordFormat) -> str:
     width = item.length_.args[0]
     if f.usage == "comp-5" or f.usage == "binary" and fmt.trunc == "bin":
         return "decimal(38,%d)" % max(0, p.scale) if p.scale else {1: "int", 2: "int", 4: "long"}.get(width, "decimal(20,0)" if width <= 8 else "decimal(38,0)")
+    if fmt.integral and p.scale == 0 and p.digits <= 18:
+        return "int" if p.digits <= 9 else "long"
     return decode.decimal_type(p.digits, p.scale).simpleString()
 
 
@@ -225,32 +231,80 @@ def _values_of(d: _Decoder) -> list[Column]:
 
 
 def condition_columns(d: _Decoder) -> list[Column]:
-    """A boolean column for each level 88 outside tables: any value or range of values holds."""
-    fmt, out = d.fmt, []
-    for item in fmt.layout.items():
-        up, table = item, False
+    """A boolean column for each level 88: whether any of its values or ranges holds.
+
+    Inside tables it is an array, nested as the tables are. Numbers are compared as numbers;
+    text, and groups as a whole, by the bytes of the file's charset, the shorter side padded
+    with spaces. A faulty or missing item gives null.
+    """
+    out = []
+    for item in d.fmt.layout.items():
+        tables, up = [], item
         while up is not None:
-            table, up = table or up.is_table, up.parent
-        for c in [] if table or item.field.is_group else item.field.conditions:
-            own, numeric = d._one(item, F.lit(0)), item.field.picture is not None and item.field.picture.category == picture.NUMERIC
-            tests = [own == literal(a, numeric) if b is None else own.between(literal(a, numeric), literal(b, numeric)) for a, b in c.values]
-            test = tests[0]
-            for t in tests[1:]:
-                test = test | t
-            out.append(test.alias(c.name))
+            tables, up = ([up, *tables] if up.is_table else tables), up.parent
+        for c in item.field.conditions:
+            out.append(_over(d, tables, F.lit(0), lambda shift, item=item, c=c: _holds(d, item, shift, c.values)).alias(c.name))
     return out
 
 
-def literal(text: str, numeric: bool) -> Column:
-    """A COBOL literal or figurative constant as a column."""
-    if text[:1] in "\"'":
-        return F.lit(text[1:-1].replace(text[0] * 2, text[0]).rstrip(" "))
-    word = text.upper()
-    if word in ("SPACE", "SPACES"):
-        return F.lit("")
-    if word in ("ZERO", "ZEROS", "ZEROES"):
-        return F.lit(0) if numeric else F.lit("0")
-    return F.lit(text).cast("decimal(38,10)") if numeric and re.fullmatch(r"[+-]?[0-9.]+", text) else F.lit(text)
+def _over(d: _Decoder, tables: list[Item], shift: Column, make) -> Column:
+    """make(shift) for every occurrence of the tables, outermost first, as nested arrays."""
+    if not tables:
+        return make(shift)
+    stride = tables[0].stride_.column(d.count)
+    return F.transform(d.steps(tables[0]), lambda i: _over(d, tables[1:], shift + stride * i, make))
+
+
+def _holds(d: _Decoder, item: Item, shift: Column, values: list[tuple[str, str | None]]) -> Column:
+    p, usage = item.field.picture, item.field.usage
+    if not item.field.is_group and (usage in ("comp-1", "comp-2") or p is not None and p.category == picture.NUMERIC):
+        own = d._one(item, shift)
+        ends = [(number(a), number(b or a)) for a, b in values]
+        tests = [F.lit(False) if x is None or y is None else own.between(x, y) for x, y in ends]
+    else:
+        at, width = item.at.column(d.count) + shift, item.length_.column(d.count)
+        own = F.when(F.length(d.record) >= at + width, decode.latin(decode.cut(d.record, at, width)))
+        space = d.fmt.encoding.chars.unicode.index(" ")
+
+        def against(text: str, test) -> Column:
+            text, size = characters(text, d.fmt.encoding)
+            n = width if size is None else F.greatest(width, F.lit(size))
+            fill = chr(space) if size is not None else text or chr(space)
+            return test(F.rpad(own, n, chr(space)), F.rpad(F.lit(text), n, fill))
+
+        tests = [against(a, lambda x, y: x == y) if b is None else against(a, lambda x, y: x >= y) & against(b, lambda x, y: x <= y) for a, b in values]
+    test = tests[0]
+    for t in tests[1:]:
+        test = test | t
+    return test
+
+
+#: Figurative constants and the byte or character that each repeats.
+FIGURATIVE = {"SPACE": " ", "SPACES": " ", "ZERO": "0", "ZEROS": "0", "ZEROES": "0", "QUOTE": '"', "QUOTES": '"', "LOW-VALUE": 0, "LOW-VALUES": 0, "HIGH-VALUE": 255, "HIGH-VALUES": 255}
+
+
+def number(text: str) -> Column | None:
+    """A numeric literal or ZERO as a column; None for any other literal."""
+    if FIGURATIVE.get(text.upper()) == "0":
+        return F.lit(0)
+    return F.lit(text).cast("decimal(38,10)") if re.fullmatch(r"[+-]?[0-9]*\.?[0-9]+", text) else None
+
+
+def characters(text: str, encoding: Encoding) -> tuple[str, int | None]:
+    """The bytes of a literal as Latin-1 characters, and its length; None if it repeats to any length."""
+    own, every = FIGURATIVE.get(text.upper()), text[:4].upper() == "ALL "
+    if isinstance(own, int):
+        return chr(own), None
+    if own is None:
+        own = text[4:].strip() if every else text
+        own = FIGURATIVE.get(own.upper(), own)
+        own = chr(own) if isinstance(own, int) else own[1:-1].replace(own[0] * 2, own[0]) if own[:1] in ("\"", "'") and len(own) > 1 else own
+        if not every:
+            own = own.rstrip(" ")
+    else:
+        every = True
+    known = encoding.chars.unicode
+    return "".join(chr(known.index(c)) for c in own if c in known), None if every else len(own)
 
 
 def alias_columns(d: _Decoder) -> list[Column]:

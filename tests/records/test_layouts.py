@@ -154,6 +154,53 @@ def test_conditions_and_aliases(spark):
     assert rows[0]["CUST-ADDRESS"][2]["ADDR-ZIP"] == 9
 
 
+CODED = """
+01 R.
+   05 N PIC 9.
+   05 BOX OCCURS 1 TO 3 DEPENDING ON N.
+      88 EMPTY-BOX VALUE SPACES.
+      10 KIND PIC X(2).
+         88 NAMED VALUE 'A' THRU 'IZ' '00' '1   '.
+         88 LOWEST VALUE LOW-VALUES.
+         88 STARS VALUE ALL '*'.
+         88 TOO-LONG VALUE 'ABC'.
+      10 AMOUNT PIC S9(2) OCCURS 2.
+         88 NONE VALUE ZERO.
+         88 SMALL VALUES -5 THRU 5, 50.
+         88 NEVER VALUE SPACE.
+"""
+
+
+def test_conditions_in_tables_and_of_groups(spark):
+    f = RecordFormat.of(CODED, "ibm", "ibm", "std")
+    text = lambda t: t.encode("cp037")
+    rows = [b"\xf3" + text("B ") + text("0E") + text("50") + text("00") + text("0500") + text("1 ") + text("06") + text("0N"), b"\xf1" + text(" " * 6), b"\xf2" + b"\0\0" + text("0000") + text("**") + text("9999")]
+    frame = spark.createDataFrame([(bytearray(r),) for r in rows], "value binary")
+    a, b, c = decode_records(frame, f, mode="PERMISSIVE", conditions=True).collect()
+    assert a["NAMED"] == [True, True, True] and a["EMPTY-BOX"] == [False] * 3
+    assert a["SMALL"] == [[True, True], [True, True], [False, True]] and a["NONE"] == [[False, False], [False, True], [False, False]]
+    assert b["EMPTY-BOX"] == [True] and b["NAMED"] == [False] and b["SMALL"] == [[None, None]]
+    assert c["LOWEST"] == [True, False] and c["STARS"] == [False, True] and c["TOO-LONG"] == [False, False] and c["NEVER"] == [[False, False]] * 2
+
+
+def test_ranges_follow_the_charset(spark):
+    text, value = "01 R. 05 K PIC X. 88 LETTER-OR-DIGIT VALUE 'A' THRU '9'.", "A5 "
+    for encoding, want in (("ibm", [True, True, False]), ("gnucobol", [False, False, False])):
+        f = RecordFormat.of(text, encoding, encoding, "std")
+        frame = spark.createDataFrame([(k, v) for k, v in enumerate(value)], "n int, K string")
+        rows = decode_records(encode_records(frame, f, keep=("n",)), f, keep=("n",), conditions=True).orderBy("n").collect()
+        assert [r["LETTER-OR-DIGIT"] for r in rows] == want
+
+
+def test_integral_types(spark):
+    f = RecordFormat.of("01 R. 05 A PIC S9(9) COMP-3. 05 B PIC 9(10). 05 C PIC 9(4) COMP. 05 D PIC 9(19) COMP-3. 05 E PIC 9(3)V9. 05 T PIC 9(2) OCCURS 5.", "ibm", "ibm", "std", integral=True)
+    frame = spark.createDataFrame([(-123456789, 9876543210, 1234, "2345678901234567890", 12.5, [1, 2, 3, 4, 5])], "A long, B long, C int, D string, E double, T array<int>")
+    out = decode_records(encode_records(frame, f), f)
+    assert [t for _, t in out.dtypes] == ["int", "bigint", "int", "decimal(19,0)", "decimal(4,1)", "array<int>"]
+    row = out.first()
+    assert (row.A, row.B, row.C, float(row.E), row["T"]) == (-123456789, 9876543210, 1234, 12.5, [1, 2, 3, 4, 5])
+
+
 def test_record_files(spark, tmp_path):
     f = RecordFormat.of("01 R. 05 K PIC 9(9) COMP. 05 T PIC X(5).", "ibm", "ibm", "std")
     frame = spark.range(1001).select(F.col("id").alias("K"), F.concat(F.lit("t"), F.col("id") % 10).alias("T"))

@@ -6,10 +6,13 @@ on record boundaries, any file system that Spark reads will do, and no Python to
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.records import RecordFormat, decode_records, encode_records
+from ..plans.layout import Item
 
 
 def read_fixed(spark: SparkSession, path: str, length: int) -> DataFrame:
@@ -19,56 +22,97 @@ def read_fixed(spark: SparkSession, path: str, length: int) -> DataFrame:
     return DataFrame(spark._jsparkSession.createDataset(rows, jvm.org.apache.spark.sql.Encoders.BINARY()).toDF(), spark)
 
 
-def read_variable(spark: SparkSession, path: str, fmt: RecordFormat) -> DataFrame:
-    """Records of a layout with DEPENDING ON tables, one after another in each file.
+PIECE = 1 << 24
 
-    A record's end is known only once it is read, so each file is walked from its start, one
-    task a file; the file's bytes are framed by offsets and never copied whole.
+
+def _occurrences(data: memoryview, table: Item, counts, order: str) -> int:
+    """The number of occurrences of a table, from its controlling item in the record at the start of data."""
+    item = table.control
+    start, width, usage = item.at.value(counts), item.length_.value(counts), item.field.usage
+    raw = bytes(data[start : start + width])
+    if usage in ("binary", "comp-5"):
+        return int.from_bytes(raw, order)
+    if usage == "display":
+        own = [b & 15 for b in raw if b >> 4 in (3, 4, 12, 15) and b & 15 <= 9]
+    else:
+        nibbles = [n for b in raw for n in (b >> 4, b & 15)]
+        own = nibbles[:-1] if usage == "comp-3" else nibbles
+    return int("".join(map(str, own)) or "0")
+
+
+def frames(read, fmt: RecordFormat, path: str):
+    """The records of a file, each as bytes; read(n) gives its next n bytes or fewer.
+
+    No more than a piece of the file and one record are held at a time.
     """
+    root, most, order = fmt.layout.root, fmt.layout.max_length, fmt.encoding.byte_order
+    data, at, passed, more = b"", 0, 0, True
+    while True:
+        if more and len(data) - at < most:
+            piece = read(max(PIECE, most))
+            more, data, passed, at = bool(piece), data[at:] + piece, passed + at, 0
+            continue
+        if at >= len(data):
+            return
+        own, known = memoryview(data)[at : at + most], {}
+
+        def counts(t, own=own, known=known, where=passed + at):
+            if t not in known:
+                n = _occurrences(own, t, counts, order)
+                if not t.min_occurs <= n <= t.max_occurs:
+                    raise ValueError(f"{path}: {n} occurrences of {t.name} at byte {where}")
+                known[t] = n
+            return known[t]
+
+        size = root.total_.value(counts)
+        if size <= 0 or size > len(own):
+            raise ValueError(f"{path}: record at byte {passed + at} ends beyond the file")
+        yield bytes(own[:size])
+        at += size
+
+
+def cut_files(files: DataFrame, fmt: RecordFormat) -> DataFrame:
+    """path, seq, value: the records of files, from their path and content, or by path where content is null."""
     import pyarrow as pa
+    import pyarrow.fs as fs
 
-    layout = fmt.layout
     schema = pa.schema([("path", pa.string()), ("seq", pa.int64()), ("value", pa.binary())])
 
-    def count(data: memoryview, item, counts) -> int:
-        start = item.at.value(counts)
-        width, usage = item.length_.value(counts), item.field.usage
-        raw = bytes(data[start : start + width])
-        if usage == "display":
-            own = [b & 15 for b in raw if b >> 4 in (3, 4, 12, 15) and b & 15 <= 9 and b not in (0x4E,)]
-        else:
-            nibbles = [n for b in raw for n in (b >> 4, b & 15)]
-            own = nibbles[:-1] if usage == "comp-3" else nibbles
-        return int("".join(map(str, own)) or "0")
+    def batch_of(path, first, rows):
+        return pa.RecordBatch.from_arrays([pa.array([path] * len(rows)), pa.array(range(first, first + len(rows)), pa.int64()), pa.array(rows, pa.binary())], schema=schema)
 
     def run(batches):
         for batch in batches:
-            for path_, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                data, at, seq, out = memoryview(content.as_buffer()), 0, 0, []
-                while at < len(data):
-                    known: dict = {}
-
-                    def counts(t, at=at, known=known):
-                        if t not in known:
-                            n = count(data[at:], t.control, counts)
-                            if not t.min_occurs <= n <= t.max_occurs:
-                                raise ValueError(f"{path_}: {n} occurrences of {t.name} at byte {at}")
-                            known[t] = n
-                        return known[t]
-
-                    size = layout.root.total_.value(counts)
-                    if size <= 0 or at + size > len(data):
-                        raise ValueError(f"{path_}: record at byte {at} ends beyond the file")
-                    out.append((path_, seq, bytes(data[at : at + size])))
-                    at, seq = at + size, seq + 1
-                    if len(out) == 4096:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-                        out = []
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, "path string, seq long, value binary")
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                if content.is_valid:
+                    source = pa.BufferReader(content.as_buffer())
+                else:
+                    system, own = fs.FileSystem.from_uri(quote(path, safe=":/@"))
+                    source = system.open_input_stream(own)
+                first, rows, size = 0, [], 0
+                with source:
+                    for value in frames(source.read, fmt, path):
+                        rows.append(value)
+                        size += len(value)
+                        if len(rows) == 4096 or size >= PIECE:
+                            yield batch_of(path, first, rows)
+                            first, rows, size = first + len(rows), [], 0
+                if rows:
+                    yield batch_of(path, first, rows)
+
+    return files.select("path", "content").mapInArrow(run, "path string, seq long, value binary")
+
+
+def read_variable(spark: SparkSession, path: str, fmt: RecordFormat, whole: int = 1 << 28) -> DataFrame:
+    """Records of a layout with DEPENDING ON tables, one after another in each file.
+
+    A record's end is known only once it is read, so each file is walked from its start, one
+    task a file. Files of up to `whole` bytes are fetched by Spark in one piece; longer ones,
+    of any length, are streamed piece by piece through Arrow's file systems.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    long = files.where(F.col("length") > whole).select("path", F.lit(None).cast("binary").alias("content"))
+    return cut_files(files.where(F.col("length") <= whole).select("path", "content").unionByName(long), fmt)
 
 
 def read_records(spark: SparkSession, path: str, fmt: RecordFormat, mode: str = "FAILFAST", **options) -> DataFrame:

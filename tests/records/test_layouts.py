@@ -214,6 +214,31 @@ def test_record_files(spark, tmp_path):
     assert sorted((r.N, len(r.A), int(r.TAIL)) for r in got) == sorted((i % 5 + 1, i % 5 + 1, i) for i in range(50))
 
 
+@pytest.mark.parametrize("control", ["9(2)", "9(2) COMP", "9(2) COMP-3"])
+def test_long_files_are_streamed(spark, tmp_path, monkeypatch, control):
+    monkeypatch.setattr(source, "PIECE", 64)
+    f = RecordFormat.of(ODO.replace("1 TO 5", "1 TO 20") % control, "ibm", "ibm", "std")
+    n = (F.col("id") % 20 + 1).cast("int")
+    rows = spark.range(300).select(n.alias("N"), F.array_repeat(F.lit("abc"), n).alias("A"), F.col("id").cast("string").alias("TAIL"))
+    source.write_records(rows.coalesce(1), f, f"{tmp_path}/odo")
+    for whole in (1 << 20, 0):
+        got = decode_records(source.read_variable(spark, f"{tmp_path}/odo/part-*", f, whole), f, keep=("seq",)).orderBy("seq").collect()
+        assert [(r.seq, r.N, len(r.A), int(r.TAIL)) for r in got] == [(i, i % 20 + 1, i % 20 + 1, i) for i in range(300)]
+    (tmp_path / "odo" / "part-00000").open("ab").write(b"\xf0")
+    with pytest.raises(Exception, match="ends beyond the file|occurrences of A"):
+        source.read_variable(spark, f"{tmp_path}/odo/part-*", f, 0).collect()
+
+
+def test_variable_stream(spark, tmp_path):
+    f = RecordFormat.of(ODO % "9(2)", "ibm", "ibm", "std")
+    n = (F.col("id") % 5 + 1).cast("int")
+    source.write_records(spark.range(50).select(n.alias("N"), F.array_repeat(F.lit("abc"), n).alias("A"), F.lit("x").alias("TAIL")).coalesce(1), f, f"{tmp_path}/in")
+    query = streaming.read_stream(spark, f"{tmp_path}/in", f, glob="part-*").groupBy("N").agg(F.sum(F.size("A")).alias("k")).writeStream.outputMode("complete").format("memory").queryName("variable").start()
+    query.processAllAvailable()
+    query.stop()
+    assert sorted(tuple(map(int, r)) for r in spark.sql("SELECT N, k FROM variable").collect()) == [(k, 10 * k) for k in range(1, 6)]
+
+
 def test_stream(spark, tmp_path):
     f = RecordFormat.of("01 R. 05 K PIC 9(4) COMP. 05 T PIC X(2).", "ibm", "ibm", "std")
     source.write_records(spark.range(30).select(F.col("id").alias("K"), F.lit("ab").alias("T")).coalesce(1), f, f"{tmp_path}/in")

@@ -78,13 +78,15 @@ class _Decoder:
         at, p, record = item.at.column(self.count), item.field.picture, self.record
         h = F.hex(decode.cut(record, at, item.length_.args[0]))
         if item.field.usage == "comp-3":
-            value, wrong, _ = decode.packed(h, at, p.digits, 0)
+            value, wrong, ok = decode.packed(h, at, p.digits, 0)
             last = F.substring(h, -2, 2)
-            return value, F.coalesce(wrong, F.when(F.substring(last, 2, 1).isin("B", "D"), decode.fault(at + p.digits // 2, "occurs_count", last)))
+            return F.when(ok, value), F.coalesce(wrong, F.when(F.substring(last, 2, 1).isin("B", "D"), decode.fault(at + p.digits // 2, "occurs_count", last)))
         if item.field.usage == "comp-6":
-            return decode.packed(h, at, p.digits, 0, True)[:2]
+            value, wrong, ok = decode.packed(h, at, p.digits, 0, True)
+            return F.when(ok, value), wrong
         if item.field.usage != "display":
-            return self._read(item, at)[:2]
+            value, wrong, ok = self._read(item, at)
+            return F.when(ok, value), wrong
         sign = item.sign() or ("trailing", False)
         n = p.digits
         zone, signed = "[3F][0-9]", "[34CF][0-9]" if p.signed else "[3F][0-9]"

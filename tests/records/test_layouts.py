@@ -133,6 +133,15 @@ def test_bad_counts_are_faults(spark, h):
     assert row._faults and row._faults[0].field == "N"
 
 
+@pytest.mark.parametrize(("control", "h"), [("9(2) COMP-3", "0ABC"), ("9(2) COMP-3", "0000"), ("9(3) COMP-6", "0BBB"), ("S9(2)", "F111"), ("9(2) COMP", "FFFF"), ("9(2) COMP", "0006")])
+def test_bad_counts_of_every_usage(spark, control, h):
+    f = RecordFormat.of(ODO % control, "ibm", "ibm", "std")
+    frame = spark.createDataFrame([(bytearray.fromhex(h + "C1" * 19),)], "value binary")
+    row = decode_records(frame, f, mode="PERMISSIVE").first()
+    assert [x.field for x in row._faults] == ["N"]
+    assert decode_records(frame, f, mode="DROPMALFORMED").count() == 0
+
+
 def test_two_tables_and_sync_after_one(spark):
     text = "01 R. 05 N PIC 9. 05 M PIC 9. 05 A PIC X OCCURS 0 TO 3 DEPENDING ON N. 05 B OCCURS 0 TO 2 DEPENDING ON M. 10 C PIC 9. 10 D PIC X(2) OCCURS 2. 05 E PIC S9(4) COMP SYNC."
     f = RecordFormat.of(text, "ibm", "ibm", "std")

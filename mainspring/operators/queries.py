@@ -235,10 +235,12 @@ ORDER = """
 
 def _occurs(clause):
     def run(spark, sf_dir):
+        """Every line of every order: an order of more than seven lines takes several records."""
         f = fmt(ORDER % clause)
-        lines = F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("LINE-NUMBER"), F.col("l_partkey").alias("PART"), F.col("l_quantity").cast("int").alias("QUANTITY"))))
-        own = table(spark, sf_dir, "lineitem").where("l_linenumber <= 7").groupBy(F.col("l_orderkey").alias("ORDER-KEY")).agg(lines.alias("LINES"))
-        own = own.withColumn("LINES", F.slice("LINES", 1, 7)).withColumn("LINE-COUNT", F.size("LINES"))
+        own = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("ORDER-KEY"), F.struct(F.col("l_linenumber").alias("LINE-NUMBER"), F.col("l_partkey").alias("PART"), F.col("l_quantity").cast("int").alias("QUANTITY")).alias("line"))
+        place = F.row_number().over(Window.partitionBy("ORDER-KEY").orderBy("line"))
+        own = own.withColumn("record", F.floor((place - 1) / 7)).groupBy("ORDER-KEY", "record").agg(F.array_sort(F.collect_list("line")).alias("LINES"))
+        own = own.drop("record").withColumn("LINE-COUNT", F.size("LINES"))
         out = decode_records(encode_records(own, f), f)
         flat = out.select(F.col("ORDER-KEY").cast("long").alias("orderkey"), F.col("LINE-COUNT").cast("int").alias("n"), F.posexplode_outer("LINES").alias("k", "x"))
         return flat.where("k < n").select("orderkey", F.col("x.LINE-NUMBER").cast("long").alias("linenumber"), F.col("x.PART").cast("long").alias("partkey"), F.col("x.QUANTITY").cast("long").alias("quantity"))

@@ -21,7 +21,9 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 # The same matches as runs of [0-9a-f]+ of 32 or more: a match starts where its run starts.
 HEX = re.compile(r"[0-9a-f]{32,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+# Of 16 characters or more; a = belongs to it as padding only, so a key's name and its value stay apart.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{14,}(?:=+(?![A-Za-z0-9+/_=-]))?")
+NAME_CHARACTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.-")
 CONTEXT = re.compile(r"(key|secret|token|passw|passphrase|pwd|auth|credential|bearer|private|signature|jwt|session|cookie|login)", re.ASCII | re.IGNORECASE)
 IDENTIFIERS = b" ".join(
     b"""access account address api args array async auth authorization await aws base64 bearer bool
@@ -67,11 +69,25 @@ class Novelty:
         return (len(self.compress(near + b"\n" + own)) - len(self.compress(near + b"\n"))) / max(1, len(own))
 
 
+def in_context(text: str, i: int, context: int) -> bool:
+    """Whether a sensitive word is among the characters before i, or in the name that i's value is assigned to."""
+    if CONTEXT.search(text, max(0, i - context), i):
+        return True
+    k = i
+    while k and text[k - 1] in " \"'=:":
+        k -= 1
+    if not any(c in "=:" for c in text[k:i]):
+        return False
+    while k and text[k - 1] in NAME_CHARACTERS:
+        k -= 1
+    return CONTEXT.search(text, k, i) is not None
+
+
 def novel_spans(text: str, base: list, novelty: Novelty, least: float = 0.6, reach: int = 256, context: int = 48) -> list[tuple[int, int, int]]:
     found = []
     for m in CANDIDATE.finditer(text):
         own, i, j = m[0], m.start(), m.end()
-        if not (any(map(str.isdigit, own)) and any(map(str.isalpha, own))) or not CONTEXT.search(text, max(0, i - context), i):
+        if len(own) < 16 or not (any(map(str.isdigit, own)) and any(map(str.isalpha, own))) or not in_context(text, i, context):
             continue
         if any(s < j and i < e for s, _, e in base):
             continue

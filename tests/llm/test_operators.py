@@ -93,6 +93,16 @@ def test_secrets(spark, odd, none):
     assert masked[0].text == "auth credentials: [secret] end" and masked[0].n_chars == len(masked[0].text) and masked[1].text is None
 
 
+def test_secrets_in_assignments_without_spaces(spark):
+    key = "kJ8s2LxQ9vTz4RmW7bYc1NdF"
+    heads = ["PRIVATE_KEY=", "private_key=", "signature=", "session=", "export AUTH=", "url?a=1&session=", "session_" + "of_the_long_name_" * 5 + "x=", "cookie: name=", "session=="]
+    rows = [(i, h + key + e, None, None) for i, (h, e) in enumerate([(h, "") for h in heads] + [("signature=", "=="), ("plain=", "")])]
+    got = {r.doc_id: r.spans for r in secrets.find_secrets(docs_of(spark, rows)).collect()}
+    assert got == {i: f"novel:{t.index(key)}:{len(t)}" if "plain" not in t else "" for i, t, *_ in rows}
+    masked = {r.doc_id: r.text for r in secrets.redact(docs_of(spark, rows)).collect()}
+    assert all(key not in masked[i] for i, t, *_ in rows if "plain" not in t) and masked[0] == "PRIVATE_KEY=[secret]"
+
+
 def plain_align(a, b):
     h, best = np.zeros((len(a) + 1, len(b) + 1), int), 0
     for i in range(1, len(a) + 1):

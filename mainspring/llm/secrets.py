@@ -3,7 +3,8 @@
 The patterns find known shapes. For the rest, long tokens in a sensitive context are
 candidates: the marginal compressed size of a candidate, after the code around it, under a
 compressor primed with a dictionary of common identifiers, says how new it is. Ordinary
-names are made of known parts and cost few bytes; random keys cost nearly all of theirs.
+names are made of known parts and cost few bytes; random keys cost nearly all of theirs. A long
+word whose parts the dictionary and the text around it lack costs as much as a key.
 """
 
 from __future__ import annotations
@@ -83,15 +84,21 @@ def in_context(text: str, i: int, context: int) -> bool:
     return CONTEXT.search(text, k, i) is not None
 
 
+def without(own: str, around: str) -> str:
+    """The text around a candidate, blank where it repeats the candidate, which is no less new for that."""
+    body = own.rstrip("=")
+    return around.replace(body, " " * len(body))
+
+
 def novel_spans(text: str, base: list, novelty: Novelty, least: float = 0.6, reach: int = 256, context: int = 48) -> list[tuple[int, int, int]]:
     found = []
     for m in CANDIDATE.finditer(text):
         own, i, j = m[0], m.start(), m.end()
-        if len(own) < 16 or not (any(map(str.isdigit, own)) and any(map(str.isalpha, own))) or not in_context(text, i, context):
+        if len(own) < 16 or not in_context(text, i, context):
             continue
         if any(s < j and i < e for s, _, e in base):
             continue
-        if novelty.share(own, text[max(0, i - reach) : i] + text[j : j + reach]) >= least:
+        if novelty.share(own, without(own, text[max(0, i - reach - len(own)) : i])[-reach:] + without(own, text[j : j + reach + len(own)])[:reach]) >= least:
             found.append((i, 3, j))
     return found
 

@@ -103,6 +103,20 @@ def test_secrets_in_assignments_without_spaces(spark):
     assert all(key not in masked[i] for i, t, *_ in rows if "plain" not in t) and masked[0] == "PRIVATE_KEY=[secret]"
 
 
+def test_repeated_and_one_sided_secrets(spark):
+    key, letters, digits = "kJ8s2LxQ9vTz4RmW7bYc1NdF", "kJQsmLxQovTzgRmWqbYcuNdF", "48201957730164829375"
+    twice = f"login: {key}, then retry with the same login: {key}"
+    far = f"login: {key} " + "and so on, word by word, " * 9 + f"login: {key}"
+    rows = [(i, t, None, None) for i, t in enumerate([twice, far, f"secret=={key}= login: {key}", f"password={key} and login: {key}", f"login: {letters}", f"session: {digits}", "login: " + "-" * 40, "login: authorization_token_header_name"])]
+    got = {r.doc_id: r.spans for r in secrets.find_secrets(docs_of(spark, rows)).collect()}
+    spots = lambda t, own: [(m.start(), m.end()) for m in re.finditer(own, t)]
+    for i, own in ((0, key), (1, key), (4, letters), (5, digits)):
+        assert got[i] == ",".join(f"novel:{s}:{e}" for s, e in spots(rows[i][1], own))
+    assert got[6] == got[7] == ""
+    masked = {r.doc_id: r.text for r in secrets.redact(docs_of(spark, rows)).collect()}
+    assert not any(own in masked[i] for i in range(6) for own in (key, letters, digits))
+
+
 def plain_align(a, b):
     h, best = np.zeros((len(a) + 1, len(b) + 1), int), 0
     for i in range(1, len(a) + 1):

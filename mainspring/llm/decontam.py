@@ -1,9 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Words of training texts are looked up among the words of the test items, so word n-grams that
-some item has, in a row or around one other word, are found in one pass. Their document
-frequencies over all texts leave the rare ones of each item as its seeds. A text with a seed is
-aligned with the item around it, which also scores edited or paraphrased copies.
+some item has, in a row or around one other word, are found in one pass. Each is a seed, however
+common. A text is aligned with the item around its seeds, which also scores edited or
+paraphrased copies, unless it has too few of the item's words there for any alignment to count.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import by_ids, materialise, slices, texts
+from ._common import by_ids, slices, texts
 
 TOKEN = re.compile(r"[^\W_]+")
 MATCH, MISMATCH, GAP = 2, -1, 1
@@ -45,7 +45,7 @@ def grams(ids: np.ndarray, pattern: tuple[int, ...]) -> np.ndarray:
 
 
 class Items:
-    """One block of test items: word ids, n-grams with their places, and later the seeds.
+    """One block of test items: word ids, and n-grams with their places.
 
     Items of equal words are one class, named by its smallest id.
     """
@@ -64,9 +64,14 @@ class Items:
             self.members.append(len(members))
         self.n = n
         self.patterns = sorted({p for s in self.seqs for p in self._own(s)})
-        every = [grams(s, p) for s in self.seqs for p in self._own(s)]
-        self.every = np.unique(np.concatenate(every)) if every else np.zeros(0, np.uint64)
-        self.seeds: dict[int, list[tuple[int, int]]] = {}
+        own = [(grams(s, p), k) for k, s in enumerate(self.seqs) for p in self._own(s)]
+        every = np.concatenate([h for h, _ in own]) if own else np.zeros(0, np.uint64)
+        order = np.argsort(every, kind="stable")
+        self.every, first = np.unique(every[order], return_index=True)
+        self.first = np.append(first, len(every))  # the places of n-gram g are first[g] to first[g + 1]
+        self.item = np.concatenate([np.full(len(h), k, np.int32) for h, k in own])[order] if own else np.zeros(0, np.int32)
+        self.place = np.concatenate([np.arange(len(h), dtype=np.int32) for h, _ in own])[order] if own else np.zeros(0, np.int32)
+        self.bags = [np.unique(s, return_counts=True) for s in self.seqs]
 
     def _own(self, seq: np.ndarray) -> list[tuple[int, ...]]:
         """The patterns that fit an item; one of its whole length if it is short."""
@@ -95,16 +100,27 @@ class Items:
                     out.append((at[hit], i[hit]))
         return out
 
-    def choose(self, frequency: np.ndarray, common: float) -> None:
-        """Seeds: an item's n-grams that some text has, but for those in over `common` times as many as its median one."""
-        self.seeds = defaultdict(list)
-        for k, seq in enumerate(self.seqs):
-            for p in self._own(seq):
-                h = np.searchsorted(self.every, grams(seq, p))
-                own = frequency[h]
-                if own.any():
-                    for q in np.flatnonzero((own > 0) & (own <= common * np.median(own[own > 0]))).tolist():
-                        self.seeds[int(h[q])].append((k, q))
+    def seeds(self, ids: np.ndarray) -> dict[int, np.ndarray]:
+        """For each item that ids have an n-gram of: where it would start by each of them, ascending."""
+        items, starts = [], []
+        for at, gram in self.found(ids):
+            n = self.first[gram + 1] - self.first[gram]
+            own = np.repeat(self.first[gram], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            items.append(self.item[own])
+            starts.append(np.repeat(at, n) - self.place[own])
+        if not items:
+            return {}
+        item, start = np.concatenate(items), np.concatenate(starts)
+        order = np.lexsort((start, item))
+        item, start = item[order], start[order]
+        cuts = np.flatnonzero(np.diff(item)) + 1
+        return dict(zip(item[np.append(0, cuts)].tolist(), np.split(start, cuts), strict=True))
+
+    def most(self, k: int, ids: np.ndarray) -> int:
+        """What an alignment of item k with ids scores at most: all words they share match."""
+        words, counts = self.bags[k]
+        i = np.minimum(np.searchsorted(words, ids), len(words) - 1)
+        return MATCH * int(np.minimum(np.bincount(i[words[i] == ids], minlength=len(words)), counts).sum())
 
 
 def align(item: np.ndarray, doc: np.ndarray) -> tuple[int, int, int]:
@@ -142,29 +158,13 @@ def _blocks(items: DataFrame, block_items: int, block_chars: int) -> list[list[t
         yield [(r["i"], r["t"]) for r in part.toLocalIterator()]
 
 
-def _scan(docs: DataFrame, block: Items) -> DataFrame:
-    """The texts that have any n-gram of the block, with the numbers of those n-grams."""
-    def run(batches):
-        for batch in slices(batches):
-            keep, hits, own = [], [], texts(batch)
-            for i, t in enumerate(own):
-                found = block.found(block.encode(tokens(t)))
-                if found:
-                    keep.append(i)
-                    hits.append(np.unique(np.concatenate([g for _, g in found])).tolist())
-            if keep:
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(pa.array(keep)), "text": [own[i] for i in keep], "hits": pa.array(hits, pa.list_(pa.int32()))})
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, text string, hits array<int>")
-
-
-def _align(found: DataFrame, block: Items, share: float, enough: int) -> DataFrame:
+def _align(docs: DataFrame, block: Items, share: float, enough: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_items", pa.int64()), ("score", pa.float64()), ("start", pa.int64()), ("end", pa.int64()), ("seeds", pa.int64())])
 
-    def windows(places, m, length):
+    def windows(starts, m, length):
         """Stretches of the text around the seeds of one item, merged where they meet."""
         slack, out = m // 2 + 8, []
-        for low in sorted(p - q for p, q in places):
+        for low in starts.tolist():
             a, b = max(0, low - slack), min(length, low + m + slack)
             if out and a <= out[-1][1]:
                 out[-1][1] = max(out[-1][1], b)
@@ -177,16 +177,18 @@ def _align(found: DataFrame, block: Items, share: float, enough: int) -> DataFra
         for batch in slices(batches):
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
+                ids = block.encode(tokens(text))
+                places = block.seeds(ids)
+                if not places:
+                    continue
                 low = text.lower()
                 spots = [m.span() for m in TOKEN.finditer(low)]
-                ids, places = block.encode([low[i:j] for i, j in spots]), defaultdict(list)
-                for at, gram in block.found(ids):
-                    for p, g in zip(at.tolist(), gram.tolist(), strict=True):
-                        for k, q in block.seeds.get(g, ()):
-                            places[k].append((p, q))
                 for k, own in places.items():
+                    needed = _needed(len(block.seqs[k]), share, enough)
                     best, item = (0, 0, 0), block.seqs[k]
                     for a, b in windows(own, len(item), len(ids)):
+                        if block.most(k, ids[a:b]) < needed:
+                            continue
                         key = (k, ids[a:b].tobytes())
                         if key not in known:
                             if len(known) >= 20_000:
@@ -195,16 +197,16 @@ def _align(found: DataFrame, block: Items, share: float, enough: int) -> DataFra
                         s, i, j = known[key]
                         if s > best[0]:
                             best = (s, a + i, a + j)
-                    if best[0] and best[0] >= _needed(len(item), share, enough):
+                    if best[0] and best[0] >= needed:
                         same = len(low) == len(text)  # lower-casing may change a text's length
                         rows.append((doc, block.ids[k], block.members[k], best[0] / (MATCH * len(item)), spots[best[1]][0] if same else None, spots[best[2] - 1][1] if same else None, len(own)))
             if rows:
                 yield pa.RecordBatch.from_pydict({f.name: pa.array(c, f.type) for f, c in zip(schema, zip(*rows, strict=True), strict=True)})
 
-    return found.mapInArrow(run, "doc_id long, item_id long, n_items long, score double, start long, end long, seeds long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, item_id long, n_items long, score double, start long, end long, seeds long")
 
 
-def contaminated(docs: DataFrame, items: DataFrame, n: int = 4, common: float = 4.0, share: float = 0.5, enough: int = 40, block_items: int = 2000, block_chars: int = 8_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, n: int = 4, share: float = 0.5, enough: int = 40, block_items: int = 2000, block_chars: int = 8_000_000) -> DataFrame:
     """Pairs of a text of docs and a test item (item_id, text) that it holds.
 
     Returns doc_id, item_id, n_items, score, start, end, seeds: score is the best alignment as
@@ -220,13 +222,7 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = 4, common: float =
         block = Items(rows, n)
         if not block.seqs and out is not None:
             continue
-        found = materialise(_scan(docs, block))
-        counts = found.select(F.explode("hits").alias("g")).groupBy("g").count()
-        frequency = np.zeros(len(block.every), np.int64)
-        for r in counts.toLocalIterator():
-            frequency[r["g"]] = r["count"]
-        block.choose(frequency, common)
-        pairs = _align(found, block, share, enough)
+        pairs = _align(docs, block, share, enough)
         out = pairs if out is None else out.unionByName(pairs)
     return out
 

@@ -179,6 +179,23 @@ def test_decontamination_finds_edited_copies(spark):
     assert len(want) > 50 and got <= want and len(got & want) / len(want) > 0.98
 
 
+def test_decontamination_finds_hot_groups_of_edited_copies(spark):
+    """However often a part of an item occurs, the texts that hold only that part are found."""
+    items = [(i, words(500 + i, 40, "abcdefghijklmnop")) for i in range(3)]
+    edited = " ".join("other" if k % 4 == 3 else w for k, w in enumerate(items[0][1].split()))
+    parts = [" ".join(items[i][1].split()[:n]) for i, n in ((1, 20), (2, 21))]
+    hot = [(edited, 300, 0), (items[0][1], 5, 0), (parts[0], 300, 1), (items[1][1], 1, 1), (parts[1], 300, 2), (items[2][1], 1, 2)]
+    rows, want = [], set()
+    for own, n, item in hot:
+        for _ in range(n):
+            want.add((len(rows), item))
+            rows.append((len(rows), f"{words(len(rows), 20, 'qrstuvwxyz')} {own} {words(-len(rows), 20, 'qrstuvwxyz')}", None, None))
+    short = len(rows)
+    rows.append((short, " ".join(items[1][1].split()[:19]), None, None))
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want
+
+
 @pytest.mark.parametrize("block", [4096, 2])
 def test_topk(spark, block):
     rng = np.random.default_rng(5)

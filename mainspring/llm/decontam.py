@@ -29,7 +29,11 @@ def tokens(text: str | None) -> list[str]:
 
 
 def patterns(n: int) -> list[tuple[int, ...]]:
-    """n words in a row, and n words around one that may differ, so single edits leave seeds."""
+    """n words in a row, and n words around one that may differ, so single edits leave seeds.
+
+    Both hash alike: a word that is changed leaves the second kind in item and text, one that is
+    dropped the second in the item and the first in the text, one that is added the reverse.
+    """
     return [tuple(range(n)), tuple(k + (k >= n // 2) for k in range(n))]
 
 
@@ -37,7 +41,7 @@ def grams(ids: np.ndarray, pattern: tuple[int, ...]) -> np.ndarray:
     """A 64-bit hash of the ids at the pattern's offsets from every place; ids are non-negative where it matters."""
     n = max(0, len(ids) - pattern[-1])
     x = ids.astype(np.uint64) + np.uint64(1)
-    h = np.full(n, pattern[-1] + 1, np.uint64)
+    h = np.full(n, len(pattern), np.uint64)
     for k in pattern:
         h = (h * _P) ^ (x[k : k + n] * np.uint64(0xC2B2AE3D27D4EB4F))
         h ^= h >> np.uint64(29)
@@ -63,7 +67,7 @@ class Items:
             self.ids.append(min(known) if known else None)
             self.members.append(len(members))
         self.n = n
-        self.patterns = sorted({p for s in self.seqs for p in self._own(s)})
+        self.patterns = sorted({p for s in self.seqs for p in (self._own(s) if len(s) < n else patterns(n))})
         own = [(grams(s, p), k) for k, s in enumerate(self.seqs) for p in self._own(s)]
         every = np.concatenate([h for h, _ in own]) if own else np.zeros(0, np.uint64)
         order = np.argsort(every, kind="stable")

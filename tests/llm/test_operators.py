@@ -196,6 +196,26 @@ def test_decontamination_finds_hot_groups_of_edited_copies(spark):
     assert got == want
 
 
+def test_decontamination_finds_regular_edits(spark):
+    """Against aligning every text with every item: words dropped, added or changed at regular places."""
+    items = [(i, words(700 + i, n, "abcdefghijklmnop")) for i, n in enumerate((40, 12, 25, 12))]
+    rows = []
+    for _, text in items:
+        own = text.split()
+        for step in (3, 4, 5, 6):
+            for at in range(step):
+                hit = [k % step == at for k in range(len(own))]
+                rows.append(" ".join(w for w, h in zip(own, hit, strict=True) if not h))
+                rows.append(" ".join(w + " new" * h for w, h in zip(own, hit, strict=True)))
+                rows.append(" ".join("other" if h else w for w, h in zip(own, hit, strict=True)))
+    rows = [(i, f"{words(i, 30, 'qrstuvwxyz')} {t} {words(-1 - i, 30, 'qrstuvwxyz')}", None, None) for i, t in enumerate(rows)]
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    names: dict = {}
+    code = lambda t: np.array([names.setdefault(w, len(names)) for w in decontam.tokens(t)])
+    want = {(i, k) for i, t, *_ in rows for k, u in items if decontam.align(code(u), code(t))[0] >= min(40, len(u.split()))}
+    assert got == want and len(want) > 150
+
+
 @pytest.mark.parametrize("block", [4096, 2])
 def test_topk(spark, block):
     rng = np.random.default_rng(5)

@@ -302,16 +302,17 @@ def level88(spark, sf_dir):
 LETTERS = """
 01 LETTERS.
    05 CUST-KEY PIC 9(9) COMP.
-   05 LETTER PIC X OCCURS 5.
+   05 LETTER PIC X OCCURS %d.
       88 VOWEL VALUE 'A' 'E' 'I' 'O' 'U'.
       88 EARLY VALUE 'A' THRU 'I'.
 """
 
 
 def level88_in_tables(spark, sf_dir):
-    """Conditions of a table's items: an array of booleans each."""
-    c, f = table(spark, sf_dir, "customer"), fmt(LETTERS)
-    own = c.select(F.col("c_custkey").alias("CUST-KEY"), F.slice(F.split("c_mktsegment", ""), 1, 5).alias("LETTER"))
+    """Conditions of a table's items: an array of booleans each, as many as the longest segment has letters."""
+    c = table(spark, sf_dir, "customer")
+    f = fmt(LETTERS % (c.agg(F.max(F.length("c_mktsegment"))).first()[0] or 1))
+    own = c.select(F.col("c_custkey").alias("CUST-KEY"), F.split("c_mktsegment", "").alias("LETTER"))
     out = decode_records(encode_records(own, f), f, conditions=True)
     held = lambda c: F.size(F.filter(c, lambda x: x)).cast("long")
     return out.select(F.col("CUST-KEY").cast("long").alias("custkey"), held("VOWEL").alias("vowels"), held("EARLY").alias("early"))

@@ -1,4 +1,4 @@
-"""The queries over OCCURS tables against SQL over the whole lineitem."""
+"""The queries over OCCURS tables against SQL over whole tables."""
 
 from collections import Counter
 
@@ -24,3 +24,9 @@ def test_an_order_of_most_lines(spark, tmp_path, name):
     spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = Counter(map(tuple, queries.queries()[name](spark, str(tmp_path)).collect()))
     assert got == Counter((a, b, c, int(d)) for a, b, c, d in rows)
+
+
+def test_every_letter_of_a_segment(spark):
+    sql = "SELECT c_custkey, length(regexp_replace(c_mktsegment, '[^AEIOU]', '', 'g')), length(regexp_replace(c_mktsegment, '[^A-I]', '', 'g')) FROM '%s/customer.parquet'"
+    want = duckdb.query(sql % TABLES).fetchall()
+    assert Counter(map(tuple, queries.queries()["level88_in_tables"](spark, TABLES).collect())) == Counter(want)

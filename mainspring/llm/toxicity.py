@@ -188,8 +188,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, terms: int
 def score_toxicity(docs: DataFrame, labels: DataFrame, model: ToxicityModel | None = None, threshold: float = 0.3, **options) -> DataFrame:
     """The probability that a text's toxic label is 1, and the examples that speak for it.
 
-    Returns doc_id, held_out, score, predicted, evidence (array of example id, cosine, label,
-    nearest first). Null and empty texts have no terms and get the score of a text without
+    Returns doc_id, held_out, score, predicted, evidence (array of example id, cosine, label
+    of every example that votes, nearest first). Null and empty texts have no terms and get the score of a text without
     neighbours. Labels other than 0 and 1, null labels and null ids teach nothing; a repeated
     or contradictory label row is one example each. Without examples of both labels every
     score is 0. Ties in cosine go to the example first in the index. Other columns of docs are
@@ -209,7 +209,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, model: ToxicityModel | No
             key = tuple(sorted(counts.items()))
             if key not in known:
                 margin, place, cosine = model.margin(*model.vector(counts))
-                own = [{"example": int(model.index.ids[p]), "cosine": float(c), "label": int(model.index.labels[p])} for p, c in zip(place[:5], cosine[:5], strict=True)]
+                own = [{"example": int(model.index.ids[p]), "cosine": float(c), "label": int(model.index.labels[p])} for p, c in zip(place, cosine, strict=True)]
                 known[key] = float(sigmoid(model.slope * margin + model.intercept)), own
             score.append(known[key][0])
             evidence.append(known[key][1])

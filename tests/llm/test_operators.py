@@ -259,6 +259,16 @@ def test_toxicity(spark, odd, none):
     assert {r.score for r in toxicity.score_toxicity(odd, table.limit(0)).collect()} == {0.0}
 
 
+def test_toxicity_shows_every_vote(spark):
+    rows, labels = toxic_rows(400)
+    model = toxicity.train(docs_of(spark, rows), spark.createDataFrame(labels, LABELS))
+    for r in toxicity.score_toxicity(docs_of(spark, rows[:8]), None, model).collect():
+        counts = {w: n for w, n in toxicity.term_counts(rows[r.doc_id][1]).items() if w in model.terms}
+        _, place, cosine = model.margin(*model.vector(counts))
+        assert [(e.example, e.cosine) for e in r.evidence] == [(model.index.ids[p], c) for p, c in zip(place, cosine, strict=True)]
+        assert len(r.evidence) > 5 or r.doc_id % 4
+
+
 def test_block_max_index_is_exact():
     rng = np.random.default_rng(6)
     vectors = []

@@ -30,10 +30,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back, which cuts the lineage."""
+    """Write df as Parquet into the shared folder and read it back, which cuts the lineage.
+
+    The folder goes with drop_materialised(), or else when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/mainspring-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(own)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -46,16 +51,25 @@ def drop_materialised(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def by_ids(docs: DataFrame, ids: DataFrame, how: str, most: int = 500_000) -> DataFrame:
-    """docs semi or anti joined with the ids of a one-column table, null matching null.
+def by_keys(docs: DataFrame, keys: DataFrame, on: dict[str, Column], how: str, most: int = 64 << 20) -> DataFrame:
+    """docs semi or anti joined with the distinct rows of a table of longs, null matching null.
 
-    The ids are written and counted first: up to `most` of them are broadcast, so the texts
-    stay where they are; more are joined by a shuffle.
+    `on` gives the column of docs that each column of keys is held against. The keys are
+    written and counted first: up to `most` bytes of them are broadcast, so the texts stay where
+    they are; more are joined by a shuffle.
     """
-    column = ids.columns[0]
-    ids = materialise(ids.distinct())
-    side = F.broadcast(ids) if ids.count() <= most else ids
-    return docs.join(side, docs["doc_id"].eqNullSafe(ids[column]), how)
+    keys = materialise(keys.select(*[F.col(c).cast("long").alias(f"_key_{c}") for c in keys.columns]).distinct())
+    side = F.broadcast(keys) if keys.count() * 16 * len(keys.columns) <= most else keys
+    test = None
+    for c, own in on.items():
+        same = own.eqNullSafe(keys[f"_key_{c}"])
+        test = same if test is None else test & same
+    return docs.join(side, test, how)
+
+
+def by_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """docs semi or anti joined with the ids of a one-column table, null matching null."""
+    return by_keys(docs, ids, {ids.columns[0]: docs["doc_id"]}, how)
 
 
 def remainder(doc_id: Column, modulus: int) -> Column:
@@ -67,19 +81,28 @@ def held_out(doc_id: Column, modulus: int, value: int) -> Column:
     return F.coalesce(remainder(doc_id, modulus) == value, F.lit(False))
 
 
-def class_sample(rows: DataFrame, key: str, label: str, per_class: int, seed: int) -> tuple[DataFrame, dict]:
-    """A seeded sample of about per_class rows of each label, and every label's full row count.
+def class_sample(rows: DataFrame, key: str, label: str, per_class: int, seed: int, most: int | None = None) -> tuple[DataFrame, dict]:
+    """A seeded sample of about per_class keys of each label, and every label's full row count.
 
-    A row is kept if the hash of its key falls under per_class / count, so the sample doesn't
-    depend on how rows are partitioned. At most 4 * per_class rows a label remain in any case.
-    Labels must be few: their counts come to the driver.
+    A key is kept if its hash falls under per_class / count, so the sample doesn't depend on
+    how rows are partitioned. With more labels than `most` rows allow, per_class is lowered to
+    most / labels. At most 4 * per_class keys a label remain in any case, those with the least
+    hashes. Labels must be few: their counts come to the driver.
     """
     counts = {r[label]: r["count"] for r in rows.groupBy(label).count().collect()}
+    per_class = per_class if most is None else max(1, min(per_class, most // max(1, len(counts))))
     rate = F.lit(0.0)
     for value, n in counts.items():
         rate = F.when(F.col(label) == F.lit(value), F.lit(min(1.0, per_class / n))).otherwise(rate)
     unit = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return rows.where(unit < rate).limit(4 * per_class * max(1, len(counts))), counts
+    return rows.where(unit < rate).distinct().orderBy(unit, key, label).limit(4 * per_class * max(1, len(counts))), counts
+
+
+def one_text_each(rows: DataFrame, text: str = "text") -> DataFrame:
+    """Of rows that differ in their text only, the one whose text has the least hash."""
+    others = [c for c in rows.columns if c != text]
+    least = F.min(F.struct(F.xxhash64(text).alias("h"), F.col(text).alias("v")))
+    return rows.groupBy(*others).agg(least.alias("_least")).select(*[F.col("_least.v").alias(text) if c == text else F.col(c) for c in rows.columns])
 
 
 def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:

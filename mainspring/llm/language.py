@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, class_sample, held_out, remainder, sigmoid, slices, texts
+from ._common import arrow_map, class_sample, held_out, one_text_each, remainder, sigmoid, slices, texts
 
 BIGRAMS, TRIGRAMS = 1 << 10, 1 << 12
 WIDTH = BIGRAMS + TRIGRAMS
@@ -107,12 +107,16 @@ def fit(x: np.ndarray, labels: list[str], steps: int = 80, ridge: float = 1e-5)
     return model
 
 
-def train(docs: DataFrame, per_class: int = 500, seed: int = 11) -> LanguageModel | None:
-    """Fit on about per_class rows of each language; None if no row can be learnt from."""
+def train(docs: DataFrame, per_class: int = 500, seed: int = 11, most: int = 8000) -> LanguageModel | None:
+    """Fit on about per_class texts of each language, `most` in all; None if no row can be learnt from.
+
+    The sample comes to the driver as 10 KB of features a text, which `most` bounds. Rows that
+    repeat an id teach once for each language, by the text with the smallest hash.
+    """
     rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), 3) != 1))
-    keys, _ = class_sample(rows.select("doc_id", "lang"), "doc_id", "lang", per_class, seed)
+    keys, _ = class_sample(rows.select("doc_id", "lang"), "doc_id", "lang", per_class, seed, most)
     ids = keys.select(F.col("doc_id").alias("_id")).distinct()
-    sample = rows.select("doc_id", "text", "lang").join(F.broadcast(ids), F.col("doc_id") == F.col("_id"), "left_semi").limit(512 * per_class)
+    sample = one_text_each(rows.select("doc_id", "text", "lang").join(F.broadcast(ids), F.col("doc_id") == F.col("_id"), "left_semi"))
 
     def extract(batch):
         own, langs, x = texts(batch), texts(batch, "lang"), []
@@ -165,11 +169,14 @@ def identify_language(docs: DataFrame, model: LanguageModel | None = None, per_c
     return arrow_map(rows, predict, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean, runner_up string")
 
 
-def keep_known(docs: DataFrame, model: LanguageModel | None = None, per_class: int = 500, langs: set[str] | None = None) -> DataFrame:
-    """docs, all columns as they are, without the rows whose predicted language is `und` or not in langs.
+def keep_known(docs: DataFrame, model: LanguageModel | None = None, per_class: int = 500, langs: set[str] | None = None, ambiguity: float = 0.2) -> DataFrame:
+    """docs, all columns as they are, without the rows of no language.
 
-    Languages are those of identify_language(); langs None takes every learnt one. All rows go
-    if there is nothing to learn from. No row moves, so nothing is shuffled.
+    A row goes if its predicted language is `und` (null text, no letter), or ambiguous, that is
+    if the two best probabilities differ by less than `ambiguity`, or not in langs, where these
+    are stated; None takes every learnt one. Languages are those of identify_language(). All
+    rows go if there is nothing to learn from. Rows are judged by their texts alone, whatever
+    their ids and repeats; no row moves, so nothing is shuffled.
     """
     import pyarrow as pa
 
@@ -177,7 +184,8 @@ def keep_known(docs: DataFrame, model: LanguageModel | None = None, per_class: i
 
     def run(batches):
         for batch in slices(batches):
-            found = _decide(model, texts(batch))["lang_pred"]
-            yield batch.filter(pa.array([g != "und" and (langs is None or g in langs) for g in found], pa.bool_()))
+            found = _decide(model, texts(batch))
+            own = zip(found["lang_pred"], found["gap"], strict=True)
+            yield batch.filter(pa.array([g != "und" and gap >= ambiguity and (langs is None or g in langs) for g, gap in own], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -1,31 +1,41 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max index.
 
-Terms are words and word beginnings that tell the labels of the sample apart. Their document
-frequencies are counted over all texts. Examples lie in blocks of an inverted index whose
-entries have a block's largest weight per term, so blocks that cannot reach the k best are
-left out without changing the result. Votes weighted by distance give a margin, which a
-logistic curve fitted on leave-one-out votes turns into a probability.
+Terms are all words of the sample's texts, of both labels, and the beginnings of longer ones.
+A term weighs (1 + log tf) * idf * g / (g + DISCOUNT): idf counts all texts, and g is the
+likelihood ratio of the term against the labels of the sample, so words that tell nothing
+about the label weigh little and none is left out. Terms of many examples are bounded by block
+maxima: the cosine of an example is finished only if its bound reaches the k best, which
+leaves the result as it is. Votes weighted by distance give a margin, which a logistic curve
+fitted on leave-one-out votes turns into a probability.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, class_sample, fit_platt, held_out, materialise, remainder, sigmoid, slices, texts
+from ._common import arrow_map, class_sample, fit_platt, held_out, one_text_each, remainder, sigmoid, slices, texts
 
-WORDS = re.compile(r"[^\W\d_]+")
 BLOCK = 64
+DISCOUNT = 30.0
+
+
+_LETTERS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+
+
+def words_of(text: str | None) -> list[str]:
+    """Runs of ASCII letters and characters beyond ASCII of the lower-cased text."""
+    return (text or "").lower().encode("utf-8", "replace").translate(_LETTERS).decode().split()
 
 
 def term_counts(text: str | None, prefixes: tuple = (5,)) -> Counter:
     """Counts of words, and of the first letters of longer ones, marked with a star."""
-    words = Counter(WORDS.findall((text or "").lower()))
+    words = Counter(words_of(text))
     out = Counter(words)
     for w, n in words.items():
         for k in prefixes:
@@ -34,74 +44,94 @@ def term_counts(text: str | None, prefixes: tuple = (5,)) -> Counter:
     return out
 
 
-def ratio(ones: int, zeros: int, n1: int, n0: int) -> float:
-    """Likelihood ratio of a term against the labels; 0 if it is rare or speaks for label 0."""
-    if ones < 3 or ones * n0 <= 3 * zeros * n1:
-        return 0.0
-    share, g = (ones + zeros) / (n1 + n0), 0.0
-    for seen, total in ((ones, n1), (zeros, n0)):
-        for part, q in ((seen, share), (total - seen, 1 - share)):
-            if part and q:
-                g += 2 * part * np.log(part / (total * q))
-    return g
+def known_terms(terms: dict[str, int], width: int = 5) -> Callable:
+    """A function from a text to the counts of its terms by their numbers, without those not in `terms`."""
+    whole = {w: i for w, i in terms.items() if w[-1] != "*"}.get
+    begun = {w[:-1]: i for w, i in terms.items() if w[-1] == "*"}.get
+
+    def look_up(text: str | None) -> dict[int, int]:
+        own: dict[int, int] = {}
+        for w, n in Counter(words_of(text)).items():
+            if (i := whole(w)) is not None:
+                own[i] = n
+            if len(w) >= width and (i := begun(w[:width])) is not None:
+                own[i] = own.get(i, 0) + n
+        return own
 
+    return look_up
 
-def select_terms(bags: DataFrame, n1: int, n0: int, most: int, least: float = 20.0) -> list[str]:
-    """The terms of the sample (y, t) with the largest ratios; only those that may count are fetched."""
-    seen = bags.select("y", F.explode("t").alias("w")).groupBy("w").agg(F.sum("y").alias("a"), F.count("*").alias("n"))
-    seen = seen.where((F.col("a") >= 3) & (F.col("a") * n0 > 3 * (F.col("n") - F.col("a")) * n1))
-    scored = [(-g, r["w"]) for r in seen.toLocalIterator() if (g := ratio(r["a"], r["n"] - r["a"], n1, n0)) > least]
-    return [w for _, w in sorted(scored)[:most]]
+
+def ratios(ones: np.ndarray, zeros: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Likelihood ratio statistics of terms in `ones` of n1 and `zeros` of n0 examples."""
+    share, g = (ones + zeros) / (n1 + n0), np.zeros(len(ones))
+    for seen, total in ((ones, n1), (zeros, n0)):
+        for part, q in ((seen, share), (total - seen, 1 - share)):
+            some = (part > 0) & (q > 0)
+            g[some] += 2 * part[some] * np.log(part[some] / (total * q[some]))
+    return np.maximum(g, 0.0)
 
 
 @dataclass
 class Index:
-    """Inverted index over unit vectors: per term and block, places and weights; block maxima."""
+    """Inverted index over unit vectors. Terms of few examples have their postings one after
+    another; those of many have a dense row, and the row's maximum in every block of examples.
+    """
 
     ids: np.ndarray
     labels: np.ndarray
     ptr: np.ndarray = field(init=False)
     places: np.ndarray = field(init=False)
     weights: np.ndarray = field(init=False)
+    row: np.ndarray = field(init=False)
+    dense: np.ndarray = field(init=False)
     most: np.ndarray = field(init=False)
 
     def build(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int) -> Index:
-        blocks = max(1, -(-len(vectors) // BLOCK))
-        rows = [(t, i // BLOCK, i % BLOCK, w) for i, (ts, ws) in enumerate(vectors) for t, w in zip(ts.tolist(), ws.tolist(), strict=True)]
-        rows.sort()
-        self.places, self.weights = np.array([r[2] for r in rows], np.int64), np.array([r[3] for r in rows])
-        cell = np.array([r[0] * blocks + r[1] for r in rows], np.int64)
-        self.ptr = np.searchsorted(cell, np.arange(terms * blocks + 1)).reshape(-1)
-        self.most = np.zeros(terms * blocks)
-        np.maximum.at(self.most, cell, self.weights)
-        self.most = self.most.reshape(terms, blocks)
+        n, blocks = len(vectors), max(1, -(-len(vectors) // BLOCK))
+        sizes = [len(t) for t, _ in vectors]
+        term = np.concatenate([t for t, _ in vectors]) if n else np.zeros(0, np.int64)
+        weight = np.concatenate([w for _, w in vectors]) if n else np.zeros(0)
+        place = np.repeat(np.arange(n, dtype=np.int32), sizes)
+        seen = np.bincount(term, minlength=terms)
+        common = np.flatnonzero(seen > max(8, n // 16))
+        self.row = np.full(terms, -1, np.int32)
+        self.row[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), blocks * BLOCK))
+        often = self.row[term] >= 0
+        self.dense[self.row[term[often]], place[often]] = weight[often]
+        self.most = self.dense.reshape(len(common), blocks, BLOCK).max(2)
+        term, place, weight = term[~often], place[~often], weight[~often]
+        order = np.lexsort((place, term))
+        self.places, self.weights = place[order], weight[order]
+        self.ptr = np.searchsorted(term[order], np.arange(terms + 1))
         return self
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest with a positive cosine, ties to earlier places."""
-        blocks = self.most.shape[1]
-        bound = weights @ self.most[terms]
-        top, place = np.zeros(0), np.zeros(0, np.int64)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(top) >= k and bound[b] < top[-1] - 1e-12:
-                break
-            score = np.zeros(BLOCK)
-            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                i, j = self.ptr[t * blocks + b], self.ptr[t * blocks + b + 1]
-                score[self.places[i:j]] += w * self.weights[i:j]
-            if leave // BLOCK == b and leave >= 0:
-                score[leave % BLOCK] = 0
-            hit = np.flatnonzero(score > 0)
-            score, at = np.concatenate((top, np.round(score[hit], 12))), np.concatenate((place, hit + b * BLOCK))
-            best = np.lexsort((at, -score))[:k]
-            top, place = score[best], at[best]
-        return place, top
+        n = len(self.ids)
+        row = self.row[terms]
+        rare = row < 0
+        first, size = self.ptr[terms[rare]], self.ptr[terms[rare] + 1] - self.ptr[terms[rare]]
+        own = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        score = np.bincount(self.places[own], np.repeat(weights[rare], size) * self.weights[own], minlength=n)[:n]
+        row, often = row[~rare], weights[~rare]
+        bound = np.repeat(often @ self.most[row], BLOCK)[:n]
+        if 0 <= leave < n:
+            score[leave] = bound[leave] = -1.0
+        edge = np.partition(score, n - k)[n - k] if n > k else 0.0
+        maybe = np.flatnonzero(score + bound >= edge - 1e-12)
+        rest = often @ self.dense[np.ix_(row, maybe)] if 4 * len(maybe) < n else (often @ self.dense[row])[maybe]
+        score = score[maybe] + rest
+        score = np.round(np.where(maybe == leave, 0.0, score), 12)
+        best = np.lexsort((maybe, -score))[:k]
+        best = best[score[best] > 0]
+        return maybe[best], score[best]
 
 
 @dataclass
 class ToxicityModel:
     terms: dict[str, int]
-    idf: np.ndarray
+    idf: np.ndarray  # times what the labels say of the term
     index: Index
     k: int
     slope: float = 1.0
@@ -110,10 +140,19 @@ class ToxicityModel:
     weights: tuple[float, float] = (1.0, 1.0)
 
     def vector(self, counts: dict) -> tuple[np.ndarray, np.ndarray]:
-        """Ascending term numbers and their unit TF-IDF weights."""
-        own = sorted((t, n) for w, n in counts.items() if (t := self.terms.get(w)) is not None)
-        at = np.array([t for t, _ in own], np.int64)
-        w = (1 + np.log(np.array([n for _, n in own], float))) * self.idf[at] if own else np.zeros(0)
+        """Ascending term numbers and their unit weights, from counts of terms."""
+        get = self.terms.get
+        return self._unit({t: n for w, n in counts.items() if (t := get(w)) is not None})
+
+    def vector_of(self, text: str | None, look_up: Callable) -> tuple[np.ndarray, np.ndarray]:
+        """The vector of term_counts(text); look_up is that of known_terms(self.terms)."""
+        return self._unit(look_up(text))
+
+    def _unit(self, own: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        at = np.fromiter(own, np.int64, len(own))
+        order = np.argsort(at)
+        at = at[order]
+        w = (1 + np.log(np.fromiter(own.values(), float, len(own))[order])) * self.idf[at]
         norm = np.sqrt((w * w).sum())
         return at, w / norm if norm else w
 
@@ -132,52 +171,69 @@ def _sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, value:
     rows = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (remainder(F.col("doc_id"), modulus) != value))
     sample, counts = class_sample(rows.select("doc_id", F.col(label).cast("int").alias("y")), "doc_id", "y", per_class, seed)
     sample = sample.select(F.col("doc_id").alias("_id"), "y")
-    return docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y").limit(8 * per_class), counts
+    return one_text_each(docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y")), counts
+
+
+def frequencies(docs: DataFrame, terms: dict[str, int]) -> np.ndarray:
+    """The number of rows of docs, and for each term of those that hold it; a task sends each term once."""
+    shared, size = docs.sparkSession.sparkContext.broadcast(terms), len(terms)
+
+    def count(batches):
+        import pyarrow as pa
+
+        look_up, n, rows = known_terms(shared.value), np.zeros(size, np.int64), 0
+        for batch in slices(batches):
+            for t in texts(batch):
+                rows += 1
+                n[list(look_up(t))] += 1
+        at = np.flatnonzero(n)
+        for k in range(0, max(1, len(at)), 1 << 16):
+            part = at[k : k + (1 << 16)]
+            yield pa.RecordBatch.from_pydict({"t": np.append(part, -1).astype(np.int32), "n": np.append(n[part], 0 if k else rows)})
+
+    seen = docs.select("text").mapInArrow(count, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+    shared.unpersist()
+    out = np.zeros(size + 1, np.int64)
+    out[seen.column("t").to_numpy() + 1] = seen.column("n").to_numpy()
+    return out
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, terms: int = 1024, k: int = 15, seed: int = 17) -> ToxicityModel | None:
-    """None if there is no example of both labels to learn from."""
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, k: int = 15, seed: int = 17) -> ToxicityModel | None:
+    """Fit on a sample of about per_class labelled texts of each label; None if there is no example of both.
+
+    The sample, at most 8 * per_class rows with their terms, comes to the driver; nothing else
+    is bounded: every term of every text of the sample is used.
+    """
     sample, counts = _sample(docs, labels, "toxic", 4, 2, per_class, seed)
 
     def bags(batch):
         own = [term_counts(t) for t in texts(batch)]
         return {"id": batch.column("doc_id"), "y": batch.column("y"), "t": [list(b) for b in own], "n": [list(b.values()) for b in own]}
 
-    every = materialise(arrow_map(sample, bags, "id long, y int, t array<string>, n array<int>"))
-    size = {r["y"]: r["count"] for r in every.groupBy("y").count().collect()}
-    if len(size) < 2:
+    got = arrow_map(sample, bags, "id long, y int, t array<string>, n array<int>").toArrow().combine_chunks()
+    got = got.sort_by([("id", "ascending"), ("y", "ascending")])
+    y = got.column("y").to_numpy().astype(int)
+    size = {c: int((y == c).sum()) for c in (0, 1)}
+    if not size[0] or not size[1]:
         return None
-    chosen = {t: i for i, t in enumerate(select_terms(every, size[1], size[0], terms))}
-
-    def only_chosen(batch):
-        own = [{w: k for w, k in zip(t, n, strict=True) if w in chosen} for t, n in zip(batch.column("t").to_pylist(), batch.column("n").to_pylist(), strict=True)]
-        return {"id": batch.column("id"), "y": batch.column("y"), "t": [list(b) for b in own], "n": [list(b.values()) for b in own]}
-
-    got = arrow_map(every, only_chosen, "id long, y int, t array<string>, n array<int>").toPandas().sort_values(["id", "y"], kind="stable")
-    y = got["y"].to_numpy(int)
-
-    def frequency(batches):
-        import pyarrow as pa
-
-        n, rows, empty = np.zeros(len(chosen), np.int64), 0, True
-        for batch in slices(batches):
-            empty = False
-            for t in texts(batch):
-                rows += 1
-                for i in {chosen[w] for w in term_counts(t) if w in chosen}:
-                    n[i] += 1
-        if not empty:
-            yield pa.RecordBatch.from_pydict({"t": np.arange(-1, len(n), dtype=np.int32), "n": np.concatenate(([rows], n))})
-
-    seen = {r["t"]: r["n"] for r in docs.select("text").mapInArrow(frequency, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()}
-    idf = np.array([np.log((1 + seen.get(-1, 0)) / (1 + seen.get(i, 0))) + 1 for i in range(len(chosen))])
-    model = ToxicityModel(chosen, idf, Index(got["id"].to_numpy(), y), k)
-    vectors = [model.vector(dict(zip(t, n, strict=True))) for t, n in zip(got["t"], got["n"], strict=True)]
-    order = sorted(range(len(vectors)), key=lambda i: (vectors[i][0][:1].tolist(), i))  # like examples share blocks
-    vectors = [vectors[i] for i in order]
-    model.index = Index(got["id"].to_numpy()[order], y[order]).build(vectors, len(chosen))
-    y = y[order]
-    weights = {c: counts[c] / max(1, (y == c).sum()) for c in (0, 1)}
+    lists = [(t, n) for t, n in zip(got.column("t").to_pylist(), got.column("n").to_pylist(), strict=True)]
+    chosen: dict[str, int] = {}
+    for w in sorted({w for t, _ in lists for w in t}):
+        chosen[w] = len(chosen)
+    in_class = np.zeros((2, len(chosen)), np.int64)
+    for (t, _), c in zip(lists, y.tolist(), strict=True):
+        in_class[c, [chosen[w] for w in t]] += 1
+    g = ratios(in_class[1], in_class[0], size[1], size[0])
+    seen = frequencies(docs, chosen)
+    idf = (np.log((1 + seen[0]) / (1 + seen[1:])) + 1) * g / (g + DISCOUNT)
+    ids = got.column("id").to_numpy()
+    model = ToxicityModel(chosen, idf, Index(ids, y), k)
+    vectors = [model.vector(dict(zip(t, n, strict=True))) for t, n in lists]
+    strongest = [int(t[np.argmax(w)]) if len(t) else -1 for t, w in vectors]
+    order = sorted(range(len(vectors)), key=lambda i: (strongest[i], i))  # like examples share blocks
+    vectors, y = [vectors[i] for i in order], y[order]
+    model.index = Index(ids[order], y).build(vectors, len(chosen))
+    weights = {c: counts[c] / max(1, size[c]) for c in (0, 1)}
     most = max(weights.values())
     model.weights, model.prior = (weights[0] / most, weights[1] / most), counts[1] / (counts[0] + counts[1])
     x = np.array([model.margin(*v, leave=i)[0] for i, v in enumerate(vectors)])
@@ -189,31 +245,34 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, model: ToxicityModel | No
     """The probability that a text's toxic label is 1, and the examples that speak for it.
 
     Returns doc_id, held_out, score, predicted, evidence (array of example id, cosine, label
-    of every example that votes, nearest first). Null and empty texts have no terms and get the score of a text without
-    neighbours. Labels other than 0 and 1, null labels and null ids teach nothing; a repeated
-    or contradictory label row is one example each. Without examples of both labels every
-    score is 0. Ties in cosine go to the example first in the index. Other columns of docs are
-    left out.
+    of every example that votes, nearest first). Null and empty texts have no terms and get
+    the score of a text without neighbours, as do texts that share no term with any example.
+    doc_id is a whole number (long); null ids stay null and are not held out. Labels other than
+    0 and 1, null labels and null ids teach nothing; rows that repeat an id teach once for each
+    label, by the text with the smallest hash. Without examples of both labels every score is
+    0. Ties in cosine go to the example first in the index. Repeated rows each get a row, an
+    empty table none; other columns of docs are left out.
     """
     model = model or train(docs, labels, **options)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batch):
-        known: dict = {}
-        score, evidence = [], []
-        for t in texts(batch):
-            if model is None:
-                score.append(0.0)
-                evidence.append([])
-                continue
-            counts = {w: n for w, n in term_counts(t).items() if w in model.terms}
-            key = tuple(sorted(counts.items()))
-            if key not in known:
-                margin, place, cosine = model.margin(*model.vector(counts))
-                own = [{"example": int(model.index.ids[p]), "cosine": float(c), "label": int(model.index.labels[p])} for p, c in zip(place, cosine, strict=True)]
-                known[key] = float(sigmoid(model.slope * margin + model.intercept)), own
-            score.append(known[key][0])
-            evidence.append(known[key][1])
-        return {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "score": score, "predicted": [int(s >= threshold) for s in score], "evidence": evidence}
-
-    rows = docs.select("doc_id", "text", held_out(F.col("doc_id"), 4, 2).alias("held_out"))
-    return arrow_map(rows, run, "doc_id long, held_out boolean, score double, predicted int, evidence array<struct<example: long, cosine: double, label: int>>")
+    def run(batches):
+        import pyarrow as pa
+
+        model = shared.value
+        look_up = known_terms(model.terms) if model else None
+        for batch in slices(batches):
+            known = {}
+            for t in texts(batch):
+                if t not in known and model:
+                    margin, place, cosine = model.margin(*model.vector_of(t, look_up))
+                    known[t] = float(sigmoid(model.slope * margin + model.intercept)), place, cosine
+            rows = [known.get(t, (0.0, np.zeros(0, np.int64), np.zeros(0))) for t in texts(batch)]
+            score, place = np.array([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
+            fields = [model.index.ids[place], np.concatenate([r[2] for r in rows]), model.index.labels[place].astype(np.int32)] if model else [place, place.astype(float), place.astype(np.int32)]
+            votes = pa.StructArray.from_arrays(list(map(pa.array, fields)), names=["example", "cosine", "label"])
+            evidence = pa.ListArray.from_arrays(np.cumsum([0] + [len(r[1]) for r in rows], dtype=np.int32), votes)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= threshold).astype(np.int32)), evidence], names=["doc_id", "held_out", "score", "predicted", "evidence"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), "text", held_out(F.col("doc_id"), 4, 2).alias("held_out"))
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, evidence array<struct<example: long, cosine: double, label: int>>")

@@ -1,10 +1,12 @@
 """Personal data: fixed patterns, and a character BiLSTM with CRF transitions trained in numpy.
 
 The tagger learns from windows whose spans the patterns label and from seeded synthetic ones
-that also show other spellings. Personal data of the four kinds holds a digit or an at sign,
-so windows cover every stretch of a text around those, and nothing else can hold a span.
-Overlapping windows are decoded with Viterbi; each character takes its tag from the window in
-which it stands farthest from an edge, and spans are read off the reconciled tags of the text.
+that also show other spellings. A text is decoded as a whole: each character takes its
+emissions from the overlapping window in which it stands farthest from an edge, and one Viterbi
+path runs over them under hard constraints: a span begins with a begin tag, and a kind's tags
+stand only in runs of that kind's characters that hold a digit or an at sign. Outside those runs
+every tag is "outside", so the path falls apart into one for each run, and windows without such
+a run need not be computed; the spans are those of tagging every window (a test holds it so).
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ from __future__ import annotations
 import hashlib
 import re
 import string
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -23,13 +27,16 @@ KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
 WIDTH, STRIDE = 64, 32
 _LOCAL = string.ascii_letters + string.digits + "._%+-"
+_LOCAL_SET = frozenset(_LOCAL)
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # A match of the pattern can only start where a run of digits does.
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_ANCHOR = re.compile(r"[0-9@]")
 _DIGIT = re.compile(r"[0-9]")
+# Runs in which an email may stand, and those in which the three kinds of numbers may.
+_MAIL_RUN = re.compile(r"[A-Za-z0-9._%+-]*@[A-Za-z0-9._%+@-]*")
+_NUMBER_RUN = re.compile(r"[\x20().+-]*[0-9][\x20().0-9+-]*")
 
 
 def luhn(digits: str) -> bool:
@@ -72,10 +79,39 @@ def encode(chars: str) -> np.ndarray:
     return np.where(code < 128, code, np.where(code < 0x250, 128, 129)).astype(np.int16)
 
 
-def window_starts(text: str) -> list[int]:
-    cells = {m.start() // STRIDE for m in _ANCHOR.finditer(text)}
+def stretches(text: str) -> list[tuple[int, int, list]]:
+    """(start, end, runs) of the disjoint stretches of a text in which spans may stand; runs are (start, end, is mail)."""
+    runs = [(m.start(), m.end(), False) for m in _NUMBER_RUN.finditer(text)]
+    if "@" in text:
+        runs = sorted(runs + [(i, j, True) for i, j in _mail_runs(text)])
+    out: list = []
+    for i, j, mail in runs:
+        if out and i <= out[-1][1]:
+            out[-1][1] = max(j, out[-1][1])
+            out[-1][2].append((i, j, mail))
+        else:
+            out.append([i, j, [(i, j, mail)]])
+    return [tuple(x) for x in out]
+
+
+def _mail_runs(text: str):
+    """The matches of _MAIL_RUN, found from their at signs so that long runs without one cost nothing."""
+    at = 0
+    while (a := text.find("@", at)) >= 0:
+        i = a
+        while i > at and text[i - 1] in _LOCAL_SET:
+            i -= 1
+        m = _MAIL_RUN.match(text, i)
+        yield i, m.end()
+        at = m.end()
+
+
+def window_starts(text: str, spots: list[tuple[int, int]] | None = None) -> list[int]:
+    """Starts of the windows that hold a character of a stretch, or of the given ones."""
+    spots = [(i, j) for i, j, _ in stretches(text)] if spots is None else spots
     last = max(0, -(-(len(text) - WIDTH) // STRIDE))
-    return sorted({min(last, max(0, c + d)) * STRIDE for c in cells for d in (-1, 0)})
+    cells = {min(last, c) for i, j in spots for c in range(max(0, i // STRIDE - 1), (j - 1) // STRIDE + 1)}
+    return [c * STRIDE for c in sorted(cells)]
 
 
 def tag_row(spans: list[tuple[int, int, int]], length: int) -> np.ndarray:
@@ -227,9 +263,9 @@ def synthetic(count: int = 1200, seed: int = 9) -> list[tuple[str, list]]:
     return out
 
 
-def _windows(text: str, spans: list | None):
+def _windows(text: str, spans: list | None, spots: list | None = None):
     code, tags = encode(text), None if spans is None else tag_row(spans, len(text))
-    for s in window_starts(text):
+    for s in window_starts(text, spots):
         x = np.full(WIDTH, 130, np.int16)
         x[: min(WIDTH, len(text) - s)] = code[s : s + WIDTH]
         if tags is None:
@@ -241,83 +277,153 @@ def _windows(text: str, spans: list | None):
 
 
 def train(docs: DataFrame | None, rows: int = 300, windows: int = 3000, seed: int = 29) -> Tagger:
-    """Fit on synthetic windows and on those of at most `rows` seeded texts, labelled by pattern."""
+    """Fit on synthetic windows and on those of a sample of texts, labelled by pattern.
+
+    The sample is bounded: about `rows` texts with a digit or an at sign, by the hash of their id
+    and text, and of their windows the `windows` with the least hashes.
+    """
     own = [w for text, spans in synthetic() for w in _windows(text, spans)]
     if docs is not None:
         some = docs.where(F.col("text").rlike("[0-9@]")).select("doc_id", "text")
         total = some.count()
-        unit = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        some = some.where(unit < min(1.0, rows / max(1, total))).limit(4 * rows)
+        unit = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        some = some.where(unit < min(1.0, rows / max(1, total)))
 
         def extract(batch):
-            ids, xs, ys = [], [], []
-            for i, t in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
-                for x, y in _windows(t, base_spans(t)):
-                    ids.append(i)
-                    xs.append(x.tobytes())
-                    ys.append(y.tobytes())
-            return {"id": ids, "x": xs, "y": ys}
-
-        got = arrow_map(some, extract, "id long, x binary, y binary").limit(windows).toPandas().sort_values(["id", "x", "y"])
+            own = [(x.tobytes(), y.tobytes()) for t in texts(batch) for x, y in _windows(t, base_spans(t))]
+            return {"x": [x for x, _ in own], "y": [y for _, y in own]}
+
+        every = arrow_map(some, extract, "x binary, y binary").distinct()
+        got = every.orderBy(F.xxhash64("x", F.lit(seed)), "x", "y").limit(windows).toPandas().sort_values(["x", "y"])
         own += [(np.frombuffer(x, np.int16), np.frombuffer(y, np.int8)) for x, y in zip(got["x"], got["y"], strict=True)]
     return Tagger().fit(np.stack([x for x, _ in own]), np.stack([y for _, y in own]).astype(np.int64))
 
 
-def reconcile(length: int, starts: list[int], tags: np.ndarray) -> list[tuple[int, int, int]]:
-    """Spans (kind, start, end) of a text from the tags of its windows."""
-    own: dict[int, tuple[int, int]] = {}
-    for s, row in zip(starts, tags.tolist(), strict=True):
-        for k, tag in enumerate(row[: length - s]):
-            inner = min(k if s else WIDTH, WIDTH - 1 - k if s + WIDTH < length else WIDTH)
-            if own.get(s + k, (-1, 0))[0] < inner:
-                own[s + k] = inner, tag
-    spans, kind, begin, last = [], -1, 0, -2
-    for i in sorted(own):
-        tag = own[i][1]
-        now = (tag - 1) // 2 if tag else -1
-        if kind >= 0 and (now != kind or tag % 2 == 1 or i != last + 1):
-            spans.append((kind, begin, last + 1))
-            kind = -1
-        if now >= 0 and kind < 0:
-            kind, begin = now, i
-        last = i
-    return spans + ([(kind, begin, last + 1)] if kind >= 0 else [])
+_SHAPES = (re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), _IP, _CARD, re.compile(r"(?=.*[ ().+-])[+(0-9][\x20().0-9-]*[0-9]"))
+_NEVER = np.float32(-1e9)
+_FOLLOWS = np.zeros((TAGS, TAGS), np.float32)  # an inside tag follows the begin or inside tag of its kind only
+for _k in range(len(KINDS)):
+    _FOLLOWS[:, 2 + 2 * _k] = _NEVER
+    _FOLLOWS[[1 + 2 * _k, 2 + 2 * _k], 2 + 2 * _k] = 0
+
+
+def best_window(place: np.ndarray, length: int) -> np.ndarray:
+    """The start of the window in which each place stands farthest from an edge; the earlier of two equal ones."""
+    last = max(0, -(-(length - WIDTH) // STRIDE))
+    late = np.minimum(last, place // STRIDE)
+    early = np.maximum(0, late - 1)
+
+    def inner(cell):
+        k = place - cell * STRIDE
+        left = np.where(cell == 0, WIDTH, k)
+        right = np.where(cell * STRIDE + WIDTH >= length, WIDTH, WIDTH - 1 - k)
+        return np.where(k < WIDTH, np.minimum(left, right), -1)
+
+    return np.where(inner(early) >= inner(late), early, late) * STRIDE
+
+
+def allowed(i: int, j: int, runs: list) -> np.ndarray:
+    """Penalties [j - i, tags] that keep each kind's tags within its runs."""
+    out = np.full((j - i, TAGS), _NEVER, np.float32)
+    out[:, 0] = 0
+    for a, b, mail in runs:
+        out[a - i : b - i, slice(1, 3) if mail else slice(3, TAGS)] = 0
+    return out
 
 
-_SHAPES = (re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), _IP, _CARD, re.compile(r"(?=.*[ ().+-])[+(0-9][\x20().0-9-]*[0-9]"))
+def decode(emissions: list[np.ndarray], trans: np.ndarray) -> list[list[int]]:
+    """The best tags of stretches that have "outside" before and behind them; all run at once, longest first."""
+    order = sorted(range(len(emissions)), key=lambda k: -len(emissions[k]))
+    sizes = np.array([len(emissions[k]) for k in order])
+    trans, out = trans + _FOLLOWS, [[] for _ in emissions]
+    starts = np.concatenate(([0], np.cumsum(sizes)))
+    flat = np.concatenate([emissions[k] for k in order])
+    score, back, alive = trans[0][None] + flat[starts[:-1]], [], len(order)
+    final = np.empty((len(order), TAGS), np.float32)
+    for t in range(1, int(sizes[0]) + 1):
+        still = int(np.searchsorted(-sizes, -t, "left"))  # stretches longer than t
+        final[still:alive] = score[still:alive]
+        alive = still
+        if not alive:
+            break
+        step = score[:alive, :, None] + trans[None]
+        back.append(step.argmax(1).astype(np.int8))
+        score = step.max(1) + flat[starts[:alive] + t]
+    tag = (final + trans[:, 0][None]).argmax(1)
+    for r, k in enumerate(order):
+        own = [int(tag[r])]
+        for t in range(int(sizes[r]) - 2, -1, -1):
+            own.append(int(back[t][r, own[-1]]))
+        out[k] = own[::-1]
+    return out
 
 
-def added_spans(texts_: list[str], tagger: Tagger, base: list[list], batch: int = 1024) -> list[list[tuple[int, int, int]]]:
-    """What the tagger finds in each text beyond the patterns: well formed, and apart from them."""
-    out, queue, place = [[] for _ in texts_], [], []
+def spans_of(tags: list[int], first: int) -> list[tuple[int, int, int]]:
+    """(kind, start, end) of the runs of begin and inside tags; tags[0] stands at `first`."""
+    spans, begin, kind = [], 0, -1
+    for i, tag in enumerate([*tags, 0], first):
+        if kind >= 0 and tag != 2 + 2 * kind:
+            spans.append((kind, begin, i))
+            kind = -1
+        if tag % 2:
+            kind, begin = (tag - 1) // 2, i
+    return spans
+
+
+def tagged_spans(texts_: list[str], tagger: Tagger, batch: int = 1024, every: bool = False) -> list[list[tuple[int, int, int]]]:
+    """The tagger's spans of each text, decoded globally; `every` computes all windows, to the same end."""
+    out: list = [[] for _ in texts_]
+    place, held = [], 0
 
     def flush():
-        tags = np.concatenate([tagger.viterbi(np.stack([x for _, x in queue[i : i + batch]])) for i in range(0, len(queue), batch)])
-        at = 0
-        for k, n in place:
-            spans = reconcile(len(texts_[k]), [s for s, _ in queue[at : at + n]], tags[at : at + n])
-            for kind, i, j in spans:
-                own = texts_[k][i:j].strip(" ,;.")
-                i += texts_[k][i:j].find(own) if own else 0
-                j = i + len(own)
-                if own and _SHAPES[kind].fullmatch(own) and (kind == 0 or _valid(kind, own)) and not any(s < j and i < e for _, s, e in base[k]):
-                    out[k].append((kind, i, j))
-            at += n
-        queue.clear()
+        windows = [w for _, _, own, _ in place for w in own]
+        emit = np.concatenate([tagger.emissions(np.stack([x for _, x in windows[i : i + batch]])) for i in range(0, len(windows), batch)], 1)
+        at, parts, owners = 0, [], []
+        for k, text, own, spots in place:
+            number = {s: at + n for n, (s, _) in enumerate(own)}
+            at += len(own)
+            for i, j, runs in spots:
+                here = np.arange(i, j)
+                start = best_window(here, len(text))
+                column = np.fromiter((number[s] for s in start.tolist()), np.int64, len(start))
+                parts.append(emit[here - start, column] + allowed(i, j, runs))
+                owners.append((k, i))
+        for (k, i), tags in zip(owners, decode(parts, tagger.p["T"]), strict=True):
+            out[k] += spans_of(tags, i)
         place.clear()
 
-    for k, t in enumerate(texts_):
-        own = list(_windows(t, None))
-        if own:
-            queue += own
-            place.append((k, len(own)))
-            if len(queue) >= 4 * batch:
+    for k, text in enumerate(texts_):
+        spots = stretches(text)
+        if spots:
+            own = list(_windows(text, None, [(0, len(text))] if every else [(i, j) for i, j, _ in spots]))
+            place.append((k, text, own, spots))
+            held += len(own)
+            if held >= 4 * batch:
                 flush()
-    if queue:
+                held = 0
+    if place:
         flush()
     return out
 
 
+def added_spans(texts_: list[str], tagger: Tagger, base: list[list], batch: int = 1024) -> list[list[tuple[int, int, int]]]:
+    """What the tagger finds in each text beyond the patterns: trimmed of blanks and stops, apart from the patterns' spans, and
+    well formed, which means: an email of the base shape, an ip with parts up to 255, a card that passes Luhn, 9 to 15 digits for a phone.
+    """
+    out: list = [[] for _ in texts_]
+    for k, spans in enumerate(tagged_spans(texts_, tagger, batch)):
+        cover = sorted((s, e) for _, s, e in base[k])
+        ends = list(accumulate((e for _, e in cover), max))
+        for kind, i, j in spans:
+            own = texts_[k][i:j].strip(" ,;.")
+            i += texts_[k][i:j].find(own) if own else 0
+            j = i + len(own)
+            n = bisect_left(cover, (j,)) - 1  # the last pattern's span that starts before j
+            if own and _SHAPES[kind].fullmatch(own) and (kind == 0 or _valid(kind, own)) and not (n >= 0 and ends[n] > i):
+                out[k].append((kind, i, j))
+    return out
+
+
 def render(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{i}:{j}" for k, i, j in sorted(spans))
 
@@ -327,8 +433,9 @@ def find_personal_data(docs: DataFrame, tagger: Tagger | None = None, **options)
 
     Returns doc_id, n_email, n_ip, n_card, n_phone (matches of the patterns), base_sha256,
     spans (those and the tagger's), n_added. Null texts count as empty: no spans, and the
-    digest of the empty string. The tagger's spans never overlap a pattern's of any kind.
-    Repeated rows and null ids each get a row; other columns are left out.
+    digest of the empty string. The tagger's spans never overlap a pattern's of any kind and are
+    well formed (see added_spans). doc_id is a whole number (long); repeated rows and null ids
+    each get a row, an empty table none; other columns are left out.
     """
     tagger = tagger or train(docs, **options)
 
@@ -339,4 +446,4 @@ def find_personal_data(docs: DataFrame, tagger: Tagger | None = None, **options)
         counts = {f"n_{name}": [sum(s[0] == k for s in b) for b in base] for k, name in enumerate(KINDS)}
         return {"doc_id": batch.column("doc_id"), **counts, "base_sha256": [hashlib.sha256(render(b).encode()).hexdigest() for b in base], "spans": [render(b + n) for b, n in zip(base, new, strict=True)], "n_added": [len(n) for n in new]}
 
-    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")

@@ -2,7 +2,7 @@
 
 The patterns find known shapes. For the rest, long tokens in a sensitive context are
 candidates: the marginal compressed size of a candidate, after the code around it, under a
-compressor primed with a dictionary of common identifiers, says how new it is. Ordinary
+compressor primed with common identifiers and those of the text itself, says how new it is. Ordinary
 names are made of known parts and cost few bytes; random keys cost nearly all of theirs. A long
 word whose parts the dictionary and the text around it lack costs as much as a key.
 """
@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ._common import arrow_map, slices, texts
 
@@ -26,6 +28,7 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{14,}(?:=+(?![A-Za-z0-9+/_=-]))?")
 NAME_CHARACTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.-")
 CONTEXT = re.compile(r"(key|secret|token|passw|passphrase|pwd|auth|credential|bearer|private|signature|jwt|session|cookie|login)", re.ASCII | re.IGNORECASE)
+NAMES = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{3,}")  # the parts of identifiers
 IDENTIFIERS = b" ".join(
     b"""access account address api args array async auth authorization await aws base64 bearer bool
     boolean break bucket byte bytes case catch char class client cloud code config connection const
@@ -60,8 +63,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 class Novelty:
     """Marginal compressed bytes of a candidate, as a share of its length."""
 
-    def __init__(self, level: int = 6) -> None:
-        prime = zstandard.ZstdCompressionDict(IDENTIFIERS, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    def __init__(self, names: bytes = b"", level: int = 6) -> None:
+        prime = zstandard.ZstdCompressionDict(names + b" " + IDENTIFIERS, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.compress = zstandard.ZstdCompressor(level=level, dict_data=prime, write_checksum=False, write_content_size=False).compress
 
     def share(self, candidate: str, around: str) -> float:
@@ -70,6 +73,20 @@ class Novelty:
         return (len(self.compress(near + b"\n" + own)) - len(self.compress(near + b"\n"))) / max(1, len(own))
 
 
+def names_of(text: str, spots: list[tuple[int, int]]) -> bytes:
+    """The parts of identifiers in the text outside the candidates at `spots`, in order of place, once each.
+
+    Long parts that a candidate holds are left out: a secret that stands elsewhere too is no less new.
+    """
+    own, at = {}, 0
+    held = "\n".join(text[i:j] for i, j in spots)
+    for i, j in [*spots, (len(text), len(text))]:
+        for m in NAMES.finditer(text, at, i):
+            own.setdefault(m[0])
+        at = j
+    return " ".join(w for w in own if len(w) < 8 or w not in held).encode()
+
+
 def in_context(text: str, i: int, context: int) -> bool:
     """Whether a sensitive word is among the characters before i, or in the name that i's value is assigned to."""
     if CONTEXT.search(text, max(0, i - context), i):
@@ -90,15 +107,36 @@ def without(own: str, around: str) -> str:
     return around.replace(body, " " * len(body))
 
 
-def novel_spans(text: str, base: list, novelty: Novelty, least: float = 0.6, reach: int = 256, context: int = 48) -> list[tuple[int, int, int]]:
-    found = []
+def _merged(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the disjoint stretches that spans (start, kind, end), sorted by start, cover."""
+    starts, ends = [], []
+    for s, _, e in spans:
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
+
+def novel_spans(text: str, base: list, least: float = 0.6, reach: int = 256, context: int = 48) -> list[tuple[int, int, int]]:
+    """(start, kind index, end) of the candidates in sensitive context, apart from the base spans, of which at least `least` is new."""
+    starts, ends = _merged(base)
+    spots = []
     for m in CANDIDATE.finditer(text):
-        own, i, j = m[0], m.start(), m.end()
-        if len(own) < 16 or not in_context(text, i, context):
-            continue
-        if any(s < j and i < e for s, _, e in base):
+        i, j = m.span()
+        if j - i < 16 or not in_context(text, i, context):
             continue
-        if novelty.share(own, without(own, text[max(0, i - reach - len(own)) : i])[-reach:] + without(own, text[j : j + reach + len(own)])[:reach]) >= least:
+        k = bisect_right(ends, i)  # the first stretch that ends behind i
+        if k == len(starts) or starts[k] >= j:
+            spots.append((i, j))
+    if not spots:
+        return []
+    novelty, found = Novelty(names_of(text, spots)), []
+    for i, j in spots:
+        own = text[i:j]
+        before, behind = without(own, text[max(0, i - reach - len(own)) : i])[-reach:], without(own, text[j : j + reach + len(own)])[:reach]
+        if novelty.share(own, before + behind) >= least:
             found.append((i, 3, j))
     return found
 
@@ -112,27 +150,29 @@ def find_secrets(docs: DataFrame, least: float = 0.6) -> DataFrame:
 
     Returns doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_novel. A null text counts
     as empty: no spans, and the digest of the empty string. Equal starts are ordered by kind as
-    listed in KINDS. A novel span never overlaps a pattern's. Repeated rows and null ids each
-    get a row; other columns are left out.
+    listed in KINDS. A novel span never overlaps a pattern's. doc_id is a whole number (long);
+    repeated rows and null ids each get a row, an empty table none; other columns are left out.
     """
     def run(batch):
-        novelty, rows = Novelty(), []
+        rows = []
         for t in texts(batch):
             base = base_spans(t or "")
-            new = novel_spans(t or "", base, novelty, least)
+            new = novel_spans(t or "", base, least)
             n = [sum(k == i for _, k, _ in base) for i in range(3)]
             rows.append((*n, hashlib.sha256(render(base).encode()).hexdigest(), render(sorted(base + new)), len(new)))
         cols = zip(*rows, strict=True)
         names = ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_novel")
         return {"doc_id": batch.column("doc_id")} | {c: list(v) for c, v in zip(names, cols, strict=True)}
 
-    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_novel long")
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_novel long")
 
 
 def redact(docs: DataFrame, mask: str = "[secret]", least: float = 0.6) -> DataFrame:
     """docs with every secret of `text` replaced by the mask and n_chars set to the new length.
 
-    Overlapping spans are masked once. Null texts stay null; all other columns stay as they are.
+    Overlapping spans are masked once. Null texts stay null, empty ones empty; n_chars is set
+    only where docs has such a column; all other columns stay as they are, whatever their names.
+    Every row stays, repeated ones and null ids too.
     """
     import pyarrow as pa
 
@@ -140,10 +180,10 @@ def redact(docs: DataFrame, mask: str = "[secret]", least: float = 0.6) -> DataF
 
     def run(batches):
         for batch in slices(batches):
-            novelty, out = Novelty(), []
+            out = []
             for t in texts(batch):
                 spans = base_spans(t) if t else []
-                spans = sorted(spans + novel_spans(t, spans, novelty, least)) if t else []
+                spans = sorted(spans + novel_spans(t, spans, least)) if t else []
                 parts, at = [], 0
                 for s, _, e in spans:
                     if s >= at:

@@ -9,10 +9,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._common import materialise
+
 EXACT = float(1 << 53)
 
 
@@ -48,74 +51,100 @@ def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return keep[np.lexsort((ids[keep], -score[keep]))[:k]]
 
 
-def _tile_lists(query_ids: np.ndarray, queries: np.ndarray, places: np.ndarray, k: int):
-    def run(batches):
-        width = queries.shape[1]
-        score = [np.zeros(0, np.int64)] * len(query_ids)
-        own = [np.zeros(0, np.int64)] * len(query_ids)
-        for batch in batches:
-            vectors, ids = batch.column("v"), batch.column("vec_id").to_numpy()
-            sizes = np.diff(vectors.offsets.to_numpy()) if batch.num_rows else np.zeros(0, int)
-            fit = sizes == width
-            if not fit.any():
-                continue
-            flat = vectors.filter(pa.array(fit)).flatten().to_numpy().reshape(int(fit.sum()), width)
-            ids = ids[fit]
-            for at in range(0, len(ids), 2048):
-                tile, tile_ids = flat[at : at + 2048], ids[at : at + 2048]
-                product = _products(queries, tile)
-                for i in range(len(query_ids)):
-                    row, other = product[i], tile_ids
+class _Tiles:
+    """The best candidates so far of queries of one length, over the tiles of a task."""
+
+    def __init__(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> None:
+        self.query_ids, self.queries, self.k = query_ids, queries, k
+        self.score = [np.zeros(0, np.int64)] * len(query_ids)
+        self.own = [np.zeros(0, np.int64)] * len(query_ids)
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        k, score, own, width = self.k, self.score, self.own, self.queries.shape[1]
+        vectors, ids = batch.column("v"), batch.column("vec_id").to_numpy()
+        fit = (np.diff(vectors.offsets.to_numpy()) if batch.num_rows else np.zeros(0, int)) == width
+        if not fit.any():
+            return
+        flat = vectors.filter(pa.array(fit)).flatten().to_numpy().reshape(int(fit.sum()), width)
+        ids = ids[fit]
+        for at in range(0, len(ids), 2048):
+            tile, tile_ids = flat[at : at + 2048], ids[at : at + 2048]
+            for first in range(0, len(self.query_ids), 1024):
+                product = _products(self.queries[first : first + 1024], tile)
+                for i, row in enumerate(product, first):
+                    other = tile_ids
                     if len(score[i]) == k:
                         near = row >= score[i][-1]
                         if not near.any():
                             continue
                         row, other = row[near], other[near]
-                    mine = other != query_ids[i]
+                    mine = other != self.query_ids[i]
                     row, other = np.concatenate((score[i], row[mine])), np.concatenate((own[i], other[mine]))
                     best = _best(row, other, k)
                     score[i], own[i] = row[best], other[best]
-        sizes = [len(s) for s in score]
+
+    def lists(self):
+        sizes = [len(s) for s in self.score]
         if sum(sizes):
             yield pa.RecordBatch.from_pydict({
-                "place": np.repeat(places, sizes), "query_id": np.repeat(query_ids, sizes), "vec_id": np.concatenate(own),
-                "score": np.concatenate(score), "part": np.full(sum(sizes), TaskContext.get().partitionId(), np.int32),
-            })
-
-    return run
+                "query_id": np.repeat(self.query_ids, sizes), "vec_id": np.concatenate(self.own),
+                "score": np.concatenate(self.score), "part": np.full(sum(sizes), TaskContext.get().partitionId(), np.int32),
+            })
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 4096, fan: int = 32) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 1 << 16, block_bytes: int = 64 << 20, fan: int = 32) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest inner products among `vectors`.
 
-    Both tables have vec_id and embedding; components become floor(1024 * x). A query never
-    gets its own vec_id. Ties go to the smaller vec_id; fewer than k candidates give them all.
-    Vectors that are null, or hold null or non-finite components, take no part, nor do null
-    ids; a query meets vectors of its own length only. A repeated query row gets one list,
-    repeated candidate rows each count. Products beyond 64 bits are held at the limits of a
-    long. Queries are fetched `block` at a time, so the driver's memory is bounded.
+    Both tables have vec_id (a whole number) and embedding; components become floor(1024 * x).
+    A query never gets its own vec_id. Ties go to the smaller vec_id; fewer than k candidates
+    give them all. Vectors that are null, or hold null or non-finite components, take no part,
+    nor do null ids; a query meets vectors of its own length only. A repeated query row gets one
+    list, repeated candidate rows each count; an empty table gives no row. Products beyond 64
+    bits are held at the limits of a long. Other columns are left out.
+
+    Queries are broadcast in blocks of `block` rows and `block_bytes` of components; the driver holds one block
+    at a time, and the lists of a block are written before the next one is fetched. Each block is
+    a pass over the vectors, which stay where they are: shuffling blocks and shards to meet in a
+    grid would move the vectors once for each block too, and the queries besides.
     """
     def ready(df):
         return df.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding")).alias("v"))
 
+    spark = vectors.sparkSession
     shards, own = ready(vectors), ready(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
-    total = own.count()
-    blocks, lists = max(1, -(-total // block)), []
+    size = own.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("v") + 1), F.lit(0)).alias("n")).first()
+    blocks, every = max(1, -(-size["rows"] // block), -(-size["n"] * 8 // block_bytes)), None
     for b in range(blocks):
         part = own.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b) if blocks > 1 else own
-        rows = sorted((r["vec_id"], r["v"]) for r in part.toLocalIterator())
-        for width in sorted({len(v) for _, v in rows}):
-            same = [(i, v) for i, v in rows if len(v) == width]
-            ids, matrix = np.array([i for i, _ in same], np.int64), np.array([v for _, v in same], np.float64).reshape(len(same), width)
-            lists.append(shards.mapInArrow(_tile_lists(ids, matrix, np.arange(len(ids)), k), "place long, query_id long, vec_id long, score long, part int"))
-    if not lists:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    every = lists[0]
-    for x in lists[1:]:
-        every = every.unionByName(x)
+        lists = _block_lists(shards, part.toArrow().combine_chunks(), k)
+        if blocks > 1:
+            lists = materialise(lists)
+        every = lists if every is None else every.unionByName(lists)
     order = [F.desc("score"), F.asc("vec_id")]
     every = every.withColumn("part", F.floor(F.col("part") / fan))
     group = Window.partitionBy("query_id", "part").orderBy(*order)
     every = every.withColumn("n", F.row_number().over(group)).where(F.col("n") <= k)
     top = Window.partitionBy("query_id").orderBy(*order)
     return every.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _block_lists(shards: DataFrame, block: pa.Table, k: int) -> DataFrame:
+    """The lists of each task for the queries (vec_id, v) of a block, one matrix for each length of vectors."""
+    block = block.sort_by("vec_id")
+    ids, sizes = block.column("vec_id").to_numpy(), pc.list_value_length(block.column("v")).to_numpy()
+    matrices = []
+    for width in np.unique(sizes).tolist():
+        same = sizes == width
+        flat = block.column("v").filter(pa.array(same)).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        matrices.append((ids[same], flat.reshape(int(same.sum()), width)))
+    held = shards.sparkSession.sparkContext.broadcast(matrices)
+
+    def run(batches):
+        own = [_Tiles(*m, k) for m in held.value]
+        for batch in batches:
+            for tiles in own:
+                tiles.add(batch)
+        for tiles in own:
+            yield from tiles.lists()
+
+    return shards.mapInArrow(run, "query_id long, vec_id long, score long, part int")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import by_ids, slices, texts
+from ._common import slices, texts
 
 TOKEN = re.compile(r"[^\W_]+")
 MATCH, MISMATCH, GAP = 2, -1, 1
@@ -148,13 +148,13 @@ def align(item: np.ndarray, doc: np.ndarray) -> tuple[int, int, int]:
     return score, end - back, end
 
 
-def _needed(length: int, share: float, enough: int) -> float:
-    return MATCH * min(share * length, enough)
+def _needed(length: int, share: float, enough: int, least: int) -> float:
+    return MATCH * max(min(share * length, enough), least)
 
 
-def _blocks(items: DataFrame, block_items: int, block_chars: int) -> list[list[tuple]]:
+def _blocks(items: DataFrame, block_items: int, block_chars: int):
     """Blocks of test items, each bounded in rows and characters, one after another."""
-    rows = items.select(F.col("item_id").alias("i"), F.col("text").alias("t"))
+    rows = items.select(F.col("item_id").cast("long").alias("i"), F.col("text").alias("t"))
     total = rows.agg(F.count("*").alias("n"), F.sum(F.length("t")).alias("c")).first()
     n = max(1, math.ceil(total["n"] / block_items), math.ceil((total["c"] or 0) / block_chars))
     for b in range(n):
@@ -162,10 +162,15 @@ def _blocks(items: DataFrame, block_items: int, block_chars: int) -> list[list[t
         yield [(r["i"], r["t"]) for r in part.toLocalIterator()]
 
 
-def _align(docs: DataFrame, block: Items, share: float, enough: int) -> DataFrame:
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_items", pa.int64()), ("score", pa.float64()), ("start", pa.int64()), ("end", pa.int64()), ("seeds", pa.int64())])
+class Finder:
+    """Finds the items of a block in texts. Alignments of equal stretches are remembered, up to MEMO bytes."""
+
+    MEMO = 16 << 20
 
-    def windows(starts, m, length):
+    def __init__(self, block: Items, share: float, enough: int, least: int) -> None:
+        self.block, self.rule, self.known, self.held = block, (share, enough, least), {}, 0
+
+    def _windows(self, starts, m: int, length: int) -> list[list[int]]:
         """Stretches of the text around the seeds of one item, merged where they meet."""
         slack, out = m // 2 + 8, []
         for low in starts.tolist():
@@ -176,62 +181,99 @@ def _align(docs: DataFrame, block: Items, share: float, enough: int) -> DataFram
                 out.append([a, b])
         return out
 
+    def _aligned(self, k: int, part: np.ndarray) -> tuple[int, int, int]:
+        key = (k, part.tobytes())
+        if key not in self.known:
+            size = len(key[1]) + 256
+            if size > self.MEMO // 16:
+                return align(self.block.seqs[k], part)
+            if self.held + size > self.MEMO:
+                self.known.clear()
+                self.held = 0
+            self.held += size
+            self.known[key] = align(self.block.seqs[k], part)
+        return self.known[key]
+
+    def matches(self, text: str | None):
+        """(item, score, first token, last token, seeds) of each item that the text holds."""
+        block = self.block
+        ids = block.encode(tokens(text))
+        for k, own in block.seeds(ids).items():
+            needed, best = _needed(len(block.seqs[k]), *self.rule), (0, 0, 0)
+            if needed > MATCH * len(block.seqs[k]):
+                continue
+            for a, b in self._windows(own, len(block.seqs[k]), len(ids)):
+                if block.most(k, ids[a:b]) >= needed:
+                    s, i, j = self._aligned(k, ids[a:b])
+                    if s > best[0]:
+                        best = (s, a + i, a + j)
+            if best[0] >= needed:
+                yield k, best[0] / (MATCH * len(block.seqs[k])), best[1], best[2], len(own)
+
+
+def _align(docs: DataFrame, block: Items, rule: tuple) -> DataFrame:
+    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_items", pa.int64()), ("score", pa.float64()), ("start", pa.int64()), ("end", pa.int64()), ("seeds", pa.int64())])
+
     def run(batches):
-        known: dict[tuple, tuple] = {}
+        finder = Finder(block, *rule)
         for batch in slices(batches):
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
-                ids = block.encode(tokens(text))
-                places = block.seeds(ids)
-                if not places:
-                    continue
-                low = text.lower()
-                spots = [m.span() for m in TOKEN.finditer(low)]
-                for k, own in places.items():
-                    needed = _needed(len(block.seqs[k]), share, enough)
-                    best, item = (0, 0, 0), block.seqs[k]
-                    for a, b in windows(own, len(item), len(ids)):
-                        if block.most(k, ids[a:b]) < needed:
-                            continue
-                        key = (k, ids[a:b].tobytes())
-                        if key not in known:
-                            if len(known) >= 20_000:
-                                known.clear()
-                            known[key] = align(item, ids[a:b])
-                        s, i, j = known[key]
-                        if s > best[0]:
-                            best = (s, a + i, a + j)
-                    if best[0] and best[0] >= needed:
+                spots = None
+                for k, score, i, j, seeds in finder.matches(text):
+                    if spots is None:
+                        low = text.lower()
                         same = len(low) == len(text)  # lower-casing may change a text's length
-                        rows.append((doc, block.ids[k], block.members[k], best[0] / (MATCH * len(item)), spots[best[1]][0] if same else None, spots[best[2] - 1][1] if same else None, len(own)))
+                        spots = [m.span() for m in TOKEN.finditer(low)]
+                    rows.append((doc, block.ids[k], block.members[k], score, spots[i][0] if same else None, spots[j - 1][1] if same else None, seeds))
             if rows:
                 yield pa.RecordBatch.from_pydict({f.name: pa.array(c, f.type) for f, c in zip(schema, zip(*rows, strict=True), strict=True)})
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, item_id long, n_items long, score double, start long, end long, seeds long")
 
 
-def contaminated(docs: DataFrame, items: DataFrame, n: int = 4, share: float = 0.5, enough: int = 40, block_items: int = 2000, block_chars: int = 8_000_000) -> DataFrame:
-    """Pairs of a text of docs and a test item (item_id, text) that it holds.
+def contaminated(docs: DataFrame, items: DataFrame, n: int = 4, share: float = 0.5, enough: int = 40, least: int = 5, block_items: int = 2000, block_chars: int = 8_000_000) -> DataFrame:
+    """Pairs of a text of docs and a test item (item_id, text) that it holds; all ids are whole numbers (long).
 
     Returns doc_id, item_id, n_items, score, start, end, seeds: score is the best alignment as
     a share of the item's own, start and end its place in the text in code points (null where
     lower-casing changes the text's length), seeds the number of seed places. A pair counts if
-    the alignment is worth `share` of the item's words or `enough` words. Items of equal words
-    are one class under their smallest id, n_items many. Test items are taken in blocks of
-    bounded size; each text is read whole. Null or wordless texts and items match nothing; null
-    ids stay null; repeated rows each give their pairs; equal alignments take the first place.
+    the alignment is worth `share` of the item's words or `enough` words, and `least` words in
+    any case: an item of fewer words than that is no evidence and matches nothing. Items of
+    equal words are one class under their smallest id, n_items many. Test items are taken in
+    blocks of bounded size, a pass over docs each; each text is read whole. Null or wordless
+    texts and items match nothing; null ids stay null; repeated rows each give their pairs;
+    equal alignments take the first place. Other columns of both tables are left out.
     """
     out = None
     for rows in _blocks(items, block_items, block_chars):
         block = Items(rows, n)
         if not block.seqs and out is not None:
             continue
-        pairs = _align(docs, block, share, enough)
+        pairs = _align(docs, block, (share, enough, least))
         out = pairs if out is None else out.unionByName(pairs)
     return out
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """docs without the rows that hold a test item; rows with a null id are judged by no pair and stay."""
-    bad = contaminated(docs, items, **options).where(F.col("doc_id").isNotNull()).select("doc_id")
-    return by_ids(docs, bad, "left_anti")
+def decontaminate(docs: DataFrame, items: DataFrame, n: int = 4, share: float = 0.5, enough: int = 40, least: int = 5, block_items: int = 2000, block_chars: int = 8_000_000) -> DataFrame:
+    """docs, all columns as they are, without the rows whose own text holds a test item by the rule of contaminated().
+
+    Every row is judged by its text alone, so a null or repeated doc_id makes no difference, and
+    rows of null texts stay. Each block of items is a filter in the same pass: nothing is
+    shuffled and no row moves.
+    """
+    schema = docs.schema
+
+    def without(block: Items):
+        def run(batches):
+            finder = Finder(block, share, enough, least)
+            for batch in slices(batches):
+                yield batch.filter(pa.array([next(finder.matches(t), None) is None for t in texts(batch)], pa.bool_()))
+
+        return run
+
+    for rows in _blocks(items, block_items, block_chars):
+        block = Items(rows, n)
+        if block.seqs:
+            docs = docs.mapInArrow(without(block), schema)
+    return docs

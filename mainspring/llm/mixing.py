@@ -1,23 +1,26 @@
 """Mixing sources to target weights by fitting token budgets exactly.
 
-Documents are counted by source and exact length. Per source, the budget beyond whole copies
-is spent in proportion over the lengths, and a bounded-knapsack program over the lengths that
-remain fits the rest. Which documents of a length go in is decided by a seeded order.
+Documents are counted by source and exact length. Per source, all but the last CAPACITY words
+of the budget beyond whole copies are spent in proportion over the lengths, and a
+bounded-knapsack program over the documents that remain fits the rest. Which documents of a
+length go in is decided by a seeded order, whose cut-off for each length is found by counting.
 """
 
 from __future__ import annotations
 
 from fractions import Fraction
+from math import gcd
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import WORD, materialise
+from ._common import WORD, drop_materialised, materialise
 
 WEIGHTS = (3, 1, 2)
-CAPACITY = 1 << 15
+CAPACITY = 1 << 16
+COLUMNS = ("size", "source_size", "target", "taken")
 
 
 def targets(sizes: dict, share: Fraction = Fraction(3, 2), most: int = 2, weights: tuple = WEIGHTS) -> dict:
@@ -42,59 +45,74 @@ def targets(sizes: dict, share: Fraction = Fraction(3, 2), most: int = 2, weight
 def fill(lengths: list[int], counts: list[int], budget: int, capacity: int = CAPACITY) -> list[int]:
     """How many documents of each length make up `budget` words, never more than it.
 
-    In proportion first, then longest first until `capacity` or less is left, then the best
-    subset sum of what remains.
+    All but `capacity` words are spent in proportion, then longest first; the program finds the
+    best subset sum of the documents left over for the words left over. So a budget of up to
+    `capacity` words gets its best subset sum, and a larger one the best that goes with what
+    was spent before: short of it only if no documents left over sum to the words left over.
     """
     total = sum(n * c for n, c in zip(lengths, counts, strict=True))
     if total <= budget or not total:
         return list(counts)
     order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
-    take = [c * budget // total if n else 0 for n, c in zip(lengths, counts, strict=True)]
+    spend = max(0, budget - capacity)
+    take = [c * spend // total if n else 0 for n, c in zip(lengths, counts, strict=True)]
     left = budget - sum(n * k for n, k in zip(lengths, take, strict=True))
     for i in order:
         if lengths[i] and left > capacity:
-            k = min(counts[i] - take[i], max(0, left - capacity) // lengths[i])
+            k = min(counts[i] - take[i], (left - capacity) // lengths[i])
             take[i] += k
             left -= k * lengths[i]
-    for i in reversed(order):  # only where every length that remains is long
+    for i in reversed(order):  # only where every document left over is longer than left - capacity
         while lengths[i] and left > 4 * capacity and take[i] < counts[i] and lengths[i] <= left:
             take[i] += 1
             left -= lengths[i]
-    reach, steps, whole = 1, [], (1 << (left + 1)) - 1
-    for i in order:
-        free, lot = min(counts[i] - take[i], left // lengths[i] if lengths[i] else 0), 1
-        while free > 0 and not reach >> left & 1:
-            lot = min(lot, free)
-            steps.append((reach, i, lot))
-            reach |= reach << lot * lengths[i] & whole
-            free, lot = free - lot, 2 * lot
+    free = [(lengths[i], i, min(counts[i] - take[i], left // lengths[i])) for i in order if 0 < lengths[i] <= left]
+    unit = gcd(*(n for n, _, c in free if c > 0)) or 1
+    goal, reach, steps = left // unit, 1, []
+    whole = (1 << (goal + 1)) - 1
+    for n, i, c in free:
+        lot = 1
+        while c > 0 and not reach >> goal & 1:
+            lot = min(lot, c)
+            more = reach | reach << lot * n // unit & whole
+            if more != reach:  # what adds no sum is not needed on the way back
+                steps.append((reach, i, lot))
+            reach, c, lot = more, c - lot, 2 * lot
     best = reach.bit_length() - 1
     for before, i, lot in reversed(steps):
         if not before >> best & 1:
-            best -= lot * lengths[i]
+            best -= lot * lengths[i] // unit
             take[i] += lot
     return take
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size of every row."""
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+def _size() -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def mix(docs: DataFrame, seed: int = 41) -> DataFrame:
-    """What the mix takes of every document.
+def _source() -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
 
-    Returns doc_id, size, source_size, target, taken (repeats counted). Null texts have size 0
-    and take nothing; a null source is a source of its own, last in order; a null id is ordered
-    like any other. Of repeated rows each is a document; which of wholly equal ones goes in is
-    of no account. No source, no row. Other columns are left out. Reruns agree: the order of
-    documents of one source and length is a seeded hash of the id, then the id.
 
-    The totals of the sources come to the driver, which assumes sources are few beside
-    documents. Groups of one source and length are ranked in about the square root of their
-    count of parts, so a group of any size is spread out.
+def _order(seed: int) -> list[Column]:
+    """h, i, m: the seeded order of documents of one source and length. m only tells apart rows of one id."""
+    doc = F.col("doc_id").cast("long")
+    return [F.xxhash64(doc, F.lit(seed)).alias("h"), F.coalesce(doc, F.lit(-(1 << 63))).alias("i"), F.monotonically_increasing_id().alias("m")]
+
+
+def _running(groups: list[str], order: list[str], what: str) -> Column:
+    """The sum of a column over the rows of the group before this one."""
+    return F.coalesce(F.sum(what).over(Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
+def plan_mix(own: DataFrame) -> DataFrame:
+    """For each source and length (s, size): source_size, target, copies of every document, and the
+    last document (ch, ci, cm) that goes in once more; c of them there are, and n go in.
+
+    Takes s, size, h, i, m of every row. Only counts are ever ranked: documents of a length are
+    counted in about the square root of their number of ranges of h, then one range by id, then
+    the rows of one id by partition, so a group of any size, or of one id, is spread out.
     """
-    own = materialise(sized(docs).withColumn("s", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))))
     total = {r["s"]: r["n"] for r in own.groupBy("s").agg(F.sum("size").alias("n")).collect()}
     names = {s[1:] if s else None: n for s, n in total.items()}
     goal = targets(names)
@@ -104,17 +122,69 @@ def mix(docs: DataFrame, seed: int = 41) -> DataFrame:
         pdf = pdf.sort_values("size")
         whole, goal_, copies, rest = plan[pdf["s"].iloc[0]]
         take = fill(pdf["size"].tolist(), pdf["c"].tolist(), rest)
-        return pd.DataFrame({"ps": pdf["s"], "pn": pdf["size"], "c": pdf["c"], "n": np.array(take, np.int64), "source_size": whole, "target": goal_, "copies": copies})
+        return pd.DataFrame({"s": pdf["s"], "size": pdf["size"], "c": pdf["c"], "n": np.array(take, np.int64), "source_size": whole, "target": goal_, "copies": copies})
 
     lengths = own.groupBy("s", "size").agg(F.count("*").alias("c"))
-    chosen = lengths.groupBy("s").applyInPandas(budget, "ps string, pn long, c long, n long, source_size long, target double, copies long")
-    h = F.xxhash64("doc_id", F.lit(seed))
-    parts = F.when(F.col("c") > 256, F.ceil(F.sqrt(F.col("c").cast("double")))).otherwise(1).cast("long")
-    dealt = materialise(own.join(chosen, (F.col("s") == F.col("ps")) & (F.col("size") == F.col("pn")), "left").select("doc_id", "s", "size", "source_size", "target", "copies", "n", h.alias("h"), F.pmod(h, parts).alias("part")))
-    held = dealt.groupBy("s", "size", "part", "n").agg(F.count("*").alias("m"))
-    before = Window.partitionBy("s", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    quota = held.withColumn("q", F.col("n") - F.coalesce(F.sum("m").over(before), F.lit(0))).select(F.col("s").alias("qs"), F.col("size").alias("qn"), F.col("part").alias("qp"), "q")
-    ranked = dealt.join(quota, (F.col("s") == F.col("qs")) & (F.col("size") == F.col("qn")) & (F.col("part") == F.col("qp")))
-    order = Window.partitionBy("s", "size", "part").orderBy("h", "doc_id")
-    extra = (F.row_number().over(order) <= F.col("q")).cast("long")
-    return ranked.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("copies") + extra)).alias("taken"))
+    chosen = materialise(lengths.groupBy("s").applyInPandas(budget, "s string, size long, c long, n long, source_size long, target double, copies long"))
+    group = ["s", "size"]
+    part = chosen.where("0 < n AND n < c").select(*group, "n", F.ceil(F.sqrt(F.col("c").cast("double"))).alias("parts"))
+    ranged = own.join(_small(part), group).withColumn("r", F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * F.col("parts")))
+    held = ranged.groupBy(*group, "n", "r").agg(F.count("*").alias("k")).withColumn("b", _running(group, ["r"], "k"))
+    one = held.where("b < n AND n <= b + k").select(*group, "r", (F.col("n") - F.col("b")).alias("need"))
+    by_id = ranged.join(_small(one), [*group, "r"]).groupBy(*group, "need", "h", "i").agg(F.count("*").alias("k"))
+    by_id = by_id.withColumn("b", _running(group, ["h", "i"], "k"))
+    cut = materialise(by_id.where("b < need AND need <= b + k").select(*group, F.col("h").alias("ch"), F.col("i").alias("ci"), (F.col("need") - F.col("b")).alias("need"), "k"))
+    tied = own.join(_small(cut.where("need < k")), group).where("h = ch AND i = ci").withColumn("p", F.shiftright("m", 33))
+    held = tied.groupBy(*group, "need", "p").agg(F.count("*").alias("k2")).withColumn("b", _running(group, ["p"], "k2"))
+    one = held.where("b < need AND need <= b + k2").select(*group, "p", (F.col("need") - F.col("b")).alias("at"))
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy("m"))
+    last = tied.join(_small(one), [*group, "p"]).withColumn("rank", rank).where("rank = at").select(*group, F.col("m").alias("cm"))
+    return chosen.join(cut.select(*group, "ch", "ci"), group, "left").join(last, group, "left")
+
+
+def _small(df: DataFrame, most: int = 64 << 20) -> DataFrame:
+    """A table of lengths, written; for broadcasting if it is within `most` bytes."""
+    df = materialise(df)
+    return F.broadcast(df) if df.count() * 100 <= most else df
+
+
+def _once_more() -> Column:
+    """Whether a document goes in beyond the copies of its source."""
+    before = (F.col("h") < F.col("ch")) | (F.col("h") == F.col("ch")) & ((F.col("i") < F.col("ci")) | (F.col("i") == F.col("ci")) & (F.col("m") <= F.coalesce("cm", F.col("m"))))
+    return F.when(F.col("n") == F.col("c"), F.lit(True)).otherwise(F.coalesce(before, F.lit(False)))
+
+
+def mix(docs: DataFrame, seed: int = 41) -> DataFrame:
+    """What the mix takes of every document.
+
+    Returns doc_id, size, source_size, target, taken (repeats counted); doc_id is a whole
+    number (long). Null texts have size 0 and take nothing; a null source is a source of its
+    own, last in order; a null id is ordered before all others. Of repeated rows each is a
+    document; which of wholly equal ones goes in is of no account. No source, no row; an empty
+    table gives none. Other columns are left out. Reruns agree: the order of documents of one
+    source and length is a seeded hash of the id, then the id. A source's taken words never
+    exceed its target, and are what fill() reaches.
+
+    The totals of the sources come to the driver, which assumes sources are few beside
+    documents; so are lengths, whose counts are broadcast if they are small enough.
+    """
+    own = materialise(docs.select("doc_id", _source().alias("s"), _size().alias("size"), *_order(seed)))
+    out = own.join(_small(plan_mix(own)), ["s", "size"])
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("copies") + _once_more().cast("long"))).alias("taken"))
+
+
+def take(docs: DataFrame, seed: int = 41) -> DataFrame:
+    """The rows of docs that mix() takes, with size, source_size, target and taken.
+
+    Columns of docs with one of these four names are replaced. Rows are judged one by one by
+    the cut-off of their length, so texts stay where they are unless lengths are too many to
+    broadcast; null ids and repeated rows as in mix().
+    """
+    keep = [c for c in docs.columns if c.lower() not in COLUMNS]
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"own_{k}") for k, c in enumerate(keep)], _source().alias("s"), _size().alias("size"), *_order(seed))
+    own = materialise(docs.select(_source().alias("s"), _size().alias("size"), *_order(seed)))
+    plan = _small(plan_mix(own))
+    drop_materialised(own)
+    taken = (F.col("size") * (F.col("copies") + _once_more().cast("long"))).alias("taken")
+    out = rows.join(plan, ["s", "size"]).select(*[F.col(f"own_{k}").alias(c) for k, c in enumerate(keep)], "size", "source_size", "target", taken)
+    return out.where("taken > 0")

@@ -16,13 +16,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from ._common import arrow_map, drop_materialised, materialise, texts
+from ._common import by_keys, drop_materialised, materialise, slices, texts
 
 SEED = 42
 STEP = 1 << 14
+TASK_ROWS = 1_000_000  # rows of (table, bucket, fingerprint) that one task sorts, so tasks grow with the data
 
 
 def fingerprint(text: str | None, width: int = 4) -> int:
@@ -141,15 +143,16 @@ def candidate_edges(prints: DataFrame, radius: int, bucket_rows: int = 4096) ->
     keys = [F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks(radius)]
     keyed = prints.select("fp", F.posexplode(F.array(*keys)).alias("t", "k"))
     sizes = keyed.groupBy("t", "k").agg(F.count("*").alias("n"))
-    hot = sizes.where(F.col("n") > bucket_rows).select(F.col("t").alias("ht"), F.col("k").alias("hk"), F.ceil(F.col("n") / (bucket_rows // 2)).cast("int").alias("c"))
+    hot = materialise(sizes.where(F.col("n") > bucket_rows).select(F.col("t").alias("ht"), F.col("k").alias("hk"), F.ceil(F.col("n") / (bucket_rows // 2)).cast("int").alias("c")))
     if hot.isEmpty():
         dealt = keyed.select("t", "k", F.lit(0).alias("g"), "fp", F.lit(0).alias("side"))
     else:
         c, own = F.coalesce("c", F.lit(1)), F.pmod(F.xxhash64("fp"), F.coalesce("c", F.lit(1))).cast("int")
         cell = F.transform(F.sequence(F.lit(0), c - 1), lambda j: F.struct((F.least(own, j) * c + F.greatest(own, j)).alias("g"), F.when(j == own, 0).when(own < j, 1).otherwise(2).alias("side")))
         dealt = keyed.join(hot, (F.col("t") == F.col("ht")) & (F.col("k") == F.col("hk")), "left").select("t", "k", "fp", F.explode(cell).alias("x")).select("t", "k", F.col("x.g").alias("g"), "fp", F.col("x.side").alias("side"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(n, "t", "k", "g").sortWithinPartitions("t", "k", "g").mapInArrow(_bucket_edges(radius), "u long, v long")
+    rows = prints.count() * len(keys)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+    return dealt.repartition(parts, "t", "k", "g").sortWithinPartitions("t", "k", "g").mapInArrow(_bucket_edges(radius), "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -183,33 +186,64 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed 64-bit integer, of every row."""
-    def run(batch):
-        return {"doc_id": batch.column("doc_id"), "fp": np.array([fingerprint(t) for t in texts(batch)], np.uint64).view(np.int64)}
+def fingerprints(docs: DataFrame, key: Column | None = None) -> DataFrame:
+    """key, by default doc_id as a long, and fp, the fingerprint as a signed 64-bit integer, of every row."""
+    rows = docs.select((F.col("doc_id").cast("long") if key is None else key).alias("key"), "text")
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, fp long")
+    def run(batches):
+        for batch in slices(batches):
+            fp = np.array([fingerprint(t) for t in texts(batch)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(fp)], names=["key", "fp"])
+
+    return rows.mapInArrow(run, StructType([rows.schema["key"], StructField("fp", LongType())]))
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, bucket_rows: int = 4096) -> DataFrame:
     """doc_id, fingerprint and component_id of every row of docs.
 
-    component_id is the smallest doc_id reachable over links of at most `radius` differing
-    bits. Null and wordless texts share the fingerprint zero and are linked like others.
-    Repeated rows each get a row. A null doc_id is in its component but never names it: a
-    component of null ids only has a null component_id. Other columns are left out.
+    doc_id is a whole number (long). component_id is the smallest doc_id reachable over links
+    of at most `radius` differing bits. Null and wordless texts share the fingerprint zero and
+    are linked like others. Repeated rows each get a row. A null doc_id is in its component but
+    never names it: a component of null ids only has a null component_id. An empty table gives
+    none. Other columns are left out.
     """
     own = materialise(fingerprints(docs))
-    return assign_components(own, radius, bucket_rows).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    found = assign_components(own, radius, bucket_rows)
+    return found.select(F.col("key").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("least").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, radius: int = 4, bucket_rows: int = 4096) -> DataFrame:
+    """docs, all columns as they are, with one row of each component of near-duplicates.
+
+    It is the row with the smallest doc_id, null ids last; of rows that share an id, the one
+    whose text has the smallest hash. Of rows equal in id and text one stays, whichever. So
+    every component keeps exactly one row, whatever ids are null or repeated. Null and wordless
+    texts are one component. doc_id is a whole number (long).
+    """
+    key = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").cast("long").alias("i"), F.xxhash64("text").alias("h"))
+    own = materialise(fingerprints(docs, key))
+    found = assign_components(own, radius, bucket_rows)
+    gone = found.where(~F.col("key").eqNullSafe(F.col("least"))).select("key.i", "key.h")
+    on = {"i": docs["doc_id"].cast("long"), "h": F.xxhash64(docs["text"])}
+    out = by_keys(docs, gone, on, "left_anti")
+    again = own.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key.i", "key.h")
+    again = materialise(again)
+    drop_materialised(own)
+    if again.isEmpty():
+        return out
+    on = {"i": out["doc_id"].cast("long"), "h": F.xxhash64(out["text"])}
+    return by_keys(out, again, on, "left_anti").unionByName(by_keys(out, again, on, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def assign_components(own: DataFrame, radius: int, bucket_rows: int) -> DataFrame:
-    """doc_id, fp, component_id from doc_id, fp."""
-    prints = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    """own (key, fp) with `least`, the smallest key of each row's component."""
+    prints = materialise(own.groupBy("fp").agg(F.min("key").alias("least")))
     tree = components(candidate_edges(prints.select("fp"), radius, bucket_rows))
     linked = prints.join(tree, F.col("fp") == F.col("node"))
     head = linked.groupBy("root").agg(F.min("least").alias("component")).withColumnRenamed("root", "head")
     named = linked.select("fp", "root").join(head, F.col("root") == F.col("head")).select(F.col("fp").alias("f"), "component")
-    named = prints.join(named, F.col("fp") == F.col("f"), "left").select(F.col("fp").alias("f"), F.coalesce("component", "least").alias("component_id"))
+    named = prints.join(named, F.col("fp") == F.col("f"), "left").select(F.col("fp").alias("f"), F.coalesce("component", "least").alias("least"))
     named = materialise(named)  # so that both sides of the join below come straight from a shuffle and a hot fingerprint can be split
-    return own.join(named, F.col("fp") == F.col("f"), "left").select("doc_id", "fp", "component_id")
+    drop_materialised(prints)
+    drop_materialised(tree)
+    return own.join(named, F.col("fp") == F.col("f"), "left").select("key", "fp", "least")

@@ -2,70 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from mainspring.llm.stages import STAGES, run
 
-from mainspring.llm import decontam, language, mixing, secrets, simhash
-from mainspring.llm._common import by_ids, drop_materialised, materialise, table
-
-
-def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents of no language: null texts and texts without a letter (`und`)."""
-    return language.keep_known(docs)
-
-
-def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document with the smallest doc_id stays.
-
-    Rows that repeat a doc_id are one document. Rows with a null id cannot be told apart by
-    it: those whose component has an id go with that component, unless some null row has none;
-    then the null rows of different texts stay.
-    """
-    found = materialise(simhash.near_duplicates(docs))
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    alone = not kept.where(F.col("doc_id").isNull()).isEmpty()
-    again = not kept.groupBy("doc_id").count().where("count > 1").isEmpty()
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    gone = gone.where(F.col("doc_id").isNotNull()) if alone else gone
-    out = by_ids(docs, gone.select("doc_id"), "left_anti")
-    if not again:
-        return out
-    ids = out.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    return ids.unionByName(out.where(F.col("doc_id").isNull()).dropDuplicates(["text"]))
-
-
-def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that hold a benchmark item."""
-    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-
-
-def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks secrets in the texts; every document stays."""
-    return secrets.redact(docs)
-
-
-def to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with size, source_size, target and taken."""
-    own = mixing.mix(docs).where(F.col("taken") > 0)
-    own = own.groupBy(F.col("doc_id").alias("_key")).agg(*[F.max(c).alias(c) for c in ("size", "source_size", "target", "taken")])
-    return docs.join(own, docs["doc_id"].eqNullSafe(own["_key"])).drop(own["_key"])
-
-
-STAGES = [
-    ("language", known_language),
-    ("near_duplicates", one_of_each),
-    ("decontamination", without_benchmark),
-    ("secrets", without_secrets),
-    ("mixing", to_target_weights),
-]
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
 
 #: SQL can express neither the classifier nor SimHash; the tests hold run() against brute force.
 ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        before, docs = docs, materialise(stage(spark, docs, sf_dir))
-        drop_materialised(before)
-    return STAGES[-1][1](spark, docs, sf_dir)

@@ -67,11 +67,6 @@ def by_keys(docs: DataFrame, keys: DataFrame, on: dict[str, Column], how: str, m
     return docs.join(side, test, how)
 
 
-def by_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """docs semi or anti joined with the ids of a one-column table, null matching null."""
-    return by_keys(docs, ids, {ids.columns[0]: docs["doc_id"]}, how)
-
-
 def remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo; null for a null id."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus))

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, IntegerType, StringType, StructType
 
 from .. import errors
 from ..functions import decode, encode, picture
@@ -67,26 +68,33 @@ class _Decoder:
         self.fmt, self.record, self.fail, self.counts, self.staged = fmt, record, fail, {}, {}
 
     def count(self, table: Item) -> Column:
-        """Occurrences of a table in this record, read from its controlling item."""
+        """Occurrences of a table in this record; a count that is faulty or out of bounds is null, or an error."""
         if table not in self.counts:
             value, _ = self._count(table.control)
-            self.counts[table] = F.least(F.greatest(F.coalesce(value.cast("int"), F.lit(table.min_occurs)), F.lit(table.min_occurs)), F.lit(table.max_occurs))
+            good = F.when(value.between(table.min_occurs, table.max_occurs), value.cast("int"))
+            if self.fail:
+                at, width = table.control.at.column(self.count), table.control.length_.args[0]
+                message = F.concat(F.lit(f"{column_name(table.control)}: no count of {table.min_occurs} to {table.max_occurs} {column_name(table)} at offset "), at.cast("string"), F.lit(": "), F.hex(decode.cut(self.record, at, width)))
+                good = good.otherwise(F.raise_error(message).cast("int"))
+            self.counts[table] = good
         return self.counts[table]
 
     def _count(self, item: Item) -> tuple[Column, Column]:
-        """A count, whatever the file's charset and sign convention; its fault."""
-        at, p, record = item.at.column(self.count), item.field.picture, self.record
-        h = F.hex(decode.cut(record, at, item.length_.args[0]))
+        """A count and its fault. Zoned digits are read whatever the charset, and else by the file's own signs."""
+        at, p, record, width = item.at.column(self.count), item.field.picture, self.record, item.length_.args[0]
+        whole = F.length(record) >= at + width
+        h = F.hex(decode.cut(record, at, width))
         if item.field.usage == "comp-3":
             value, wrong, ok = decode.packed(h, at, p.digits, 0)
             last = F.substring(h, -2, 2)
-            return F.when(ok, value), F.coalesce(wrong, F.when(F.substring(last, 2, 1).isin("B", "D"), decode.fault(at + p.digits // 2, "occurs_count", last)))
+            negative = F.substring(last, 2, 1).isin("B", "D")
+            return F.when(whole & ok & ~negative, value), F.coalesce(wrong, F.when(negative, decode.fault(at + p.digits // 2, "occurs_count", last)))
         if item.field.usage == "comp-6":
             value, wrong, ok = decode.packed(h, at, p.digits, 0, True)
-            return F.when(ok, value), wrong
+            return F.when(whole & ok, value), wrong
         if item.field.usage != "display":
             value, wrong, ok = self._read(item, at)
-            return F.when(ok, value), wrong
+            return F.when(whole & ok, value), wrong
         sign = item.sign() or ("trailing", False)
         n = p.digits
         zone, signed = "[3F][0-9]", "[34CF][0-9]" if p.signed else "[3F][0-9]"
@@ -95,9 +103,10 @@ class _Decoder:
             body = F.substring(h, 3, 2 * n) if sign[0] == "leading" else F.substring(h, 1, 2 * n)
         else:
             body, shape = h, (signed + f"(?:{zone}){{{n - 1}}}" if sign[0] == "leading" else f"(?:{zone}){{{n - 1}}}" + signed)
-        ok = h.rlike(f"^{shape}$")
-        value = F.when(ok, F.regexp_replace(body, "(.)(.)", "$2").cast("decimal(31,0)"))
-        return value, F.when(~ok, decode.fault(at, "occurs_count", F.substring(h, 1, 2)))
+        alike = F.when(h.rlike(f"^{shape}$"), F.regexp_replace(body, "(.)(.)", "$2").try_cast("decimal(31,0)"))
+        declared, _, ok = self._read(item, at)
+        value = F.when(whole, F.coalesce(alike, F.when(ok & (declared >= 0), declared.cast("decimal(31,0)"))))
+        return value, F.when(value.isNull(), decode.fault(at, "occurs_count", F.substring(h, 1, 2)))
 
     def stage(self, item: Item, at: Column) -> Column:
         """The bytes of an elementary item in the form that its decoder takes."""
@@ -146,8 +155,10 @@ class _Decoder:
 
     def steps(self, table: Item) -> Column:
         """The numbers from zero of a table's occurrences in this record, as an array."""
-        every = F.sequence(F.lit(0), F.lit(table.max_occurs - 1))
-        return every if table.control is None else F.filter(every, lambda i: i < self.count(table))
+        if table.control is None:
+            return F.sequence(F.lit(0), F.lit(table.max_occurs - 1))
+        count = self.count(table)  # null where the record has no usable one, and so is the array
+        return F.when(count > 0, F.sequence(F.lit(0), count - 1)).when(count == 0, F.array().cast("array<int>"))
 
     def value(self, item: Item, shift: Column) -> Column:
         if item.is_table:
@@ -174,9 +185,28 @@ class _Decoder:
         """Arrays of faults of the item and those below it, in order of the layout."""
         if item.is_table:
             stride = item.stride_.column(self.count)
-            return [F.flatten(F.transform(self.steps(item), lambda i: F.concat(*self._faults_once(item, shift + stride * i))))]
+            every = F.flatten(F.transform(self.steps(item), lambda i: F.concat(*self._faults_once(item, shift + stride * i))))
+            return [F.coalesce(every, F.array().cast(FAULTS))]
         return self._faults_once(item, shift)
 
+    def sound(self, item: Item, shift: Column) -> list[Column]:
+        """Tests that together say whether the item and those below it have no fault; null counts as a fault."""
+        if item.is_table:
+            stride = item.stride_.column(self.count)
+            return [F.forall(self.steps(item), lambda i: _all(self._sound_once(item, shift + stride * i)))]
+        return self._sound_once(item, shift)
+
+    def _sound_once(self, item: Item, shift: Column) -> list[Column]:
+        if item.field.is_group:
+            return [x for c in item.children if c.redefines is None for x in self.sound(c, shift)]
+        at = item.at.column(self.count) + shift
+        out = [F.length(self.record) >= at + item.length_.args[0]] if self.fmt.layout.variable else []
+        out.append(self._read(item, at, self.staged.get(item))[2])
+        for t in self.fmt.layout.tables:
+            if t.control is item:
+                out.append(self.count(t).isNotNull())
+        return out
+
     def _faults_once(self, item: Item, shift: Column) -> list[Column]:
         if item.field.is_group:
             own = [c for c in item.children if c.redefines is None]  # one view of overlaid bytes is judged
@@ -190,18 +220,33 @@ class _Decoder:
             value, bad = self._count(item)
             out = (value < table.min_occurs) | (value > table.max_occurs)
             wrong = F.coalesce(wrong, bad, F.when(out, decode.fault(at, "occurs_count", F.hex(decode.cut(self.record, at, 1)))))
-        both = F.when(short, decode.fault(end, "short_record", F.lit(None).cast("string"))).otherwise(wrong)
+        both = F.when(short, decode.fault(end, "short_record", F.lit(None).cast("string"))).when(at.isNotNull(), wrong)
         named = F.struct(F.lit(column_name(item)).alias("field"), both["offset"].alias("offset"), both["kind"].alias("kind"), both["byte"].alias("byte"))
         return [F.when(both.isNull(), F.array().cast(FAULTS)).otherwise(F.array(named))]
 
 
+def _all(tests: list[Column]) -> Column:
+    out = F.lit(True)
+    for t in tests:
+        out = out & t
+    return out
+
+
+def _sound(d: _Decoder) -> Column:
+    """Whether a record has no fault at all, in one pass of short tests."""
+    layout = d.fmt.layout
+    whole = [] if layout.variable else [F.length(d.record) >= layout.length]
+    return F.coalesce(_all(whole + d.sound(layout.root, F.lit(0))), F.lit(False))
+
+
 def fault_column(fmt: RecordFormat, record: Column) -> Column:
     """All faults of a record, in order of the layout."""
     return _faults_of(_Decoder(fmt, record))
 
 
 def _faults_of(d: _Decoder) -> Column:
-    return F.concat(*d.faults(d.fmt.layout.root, F.lit(0))).cast(FAULTS)
+    """The faults in order of the layout; they are only looked for where the short tests fail."""
+    return F.when(_sound(d), F.array().cast(FAULTS)).otherwise(F.concat(*d.faults(d.fmt.layout.root, F.lit(0))).cast(FAULTS))
 
 
 def decode_type(item: Item, fmt: RecordFormat) -> str:
@@ -336,78 +381,179 @@ def decode_records(df: DataFrame, fmt: RecordFormat, column: str = "value", mode
     if mode == "PERMISSIVE":
         own.append(_faults_of(d).alias("_faults"))
     if mode == "DROPMALFORMED":
-        df = df.where(F.size(_faults_of(d)) == 0)
+        df = df.where(_sound(d))
     return df.select(*keep, *own)
 
 
-class _Encoder:
-    def __init__(self, fmt: RecordFormat) -> None:
-        self.fmt = fmt
+ENCODE_MODES = ("FAILFAST", "PERMISSIVE")
+ENCODE_FAULTS = "array<struct<field: string, kind: string>>"
+NULLS = ("fail", "fill")
 
-    def bytes(self, item: Item, value: Column | None) -> Column:
-        """All occurrences of an item; a table takes an array."""
-        if item.is_table and value is not None:
-            one = lambda x: self._padded(item, x)
-            if item.control is None and item.max_occurs <= 4 and not item.field.is_group:
-                return F.concat(*[one(F.get(value, F.lit(k))) for k in range(item.max_occurs)])
-            whole = F.sequence(F.lit(0), F.lit(item.max_occurs - 1))
-            every = F.transform(whole, lambda k: one(F.get(value, k))) if item.control is None else F.transform(value, one)
-            return F.unhex(F.array_join(F.transform(every, lambda x: F.hex(x)), ""))
-        if item.is_table:
-            return F.lit(bytearray(item.total_.value(lambda t: t.max_occurs)))
-        return self._one(item, value)
-
-    def _padded(self, item: Item, value: Column) -> Column:
-        gap = item.stride_.value(lambda t: t.max_occurs) - item.length_.value(lambda t: t.max_occurs)
-        own = self._one(item, value)
-        return F.concat(own, F.lit(bytearray(gap))) if gap else own
-
-    def _one(self, item: Item, value: Column | None) -> Column:
-        f, enc = item.field, self.fmt.encoding
-        if f.is_group:
-            parts = []
-            for c in item.children:
-                if c.redefines is not None:
-                    continue
-                slack = c.slack_.value(lambda t: t.max_occurs)
-                parts += [F.lit(bytearray(slack))] if slack else []
-                inner = None if value is None or not _shown(c, self.fmt.keep_filler) else value[column_name(c)]
-                parts.append(self.bytes(c, inner))
-            return F.concat(*parts)
-        width, p, name = item.length_.args[0], f.picture, column_name(item)
+
+class _Encoder:
+    """Bytes and faults of items. `roots` has a column for each item of the record's top level."""
+
+    def __init__(self, fmt: RecordFormat, roots: dict[str, Column], types: dict[str, DataType], fail: bool, nulls: str) -> None:
+        if nulls not in NULLS:
+            raise ValueError(f"nulls {nulls!r} is none of {', '.join(NULLS)}")
+        self.fmt, self.roots, self.types, self.fail, self.fill = fmt, roots, types, fail, nulls == "fill"
+
+    def _demand(self, item: Item, piece: encode.Piece, wrong: Column) -> encode.Piece:
+        """The piece where nothing is wrong; else an error, or null if faults are listed instead."""
+        good = F.when(wrong.isNull(), piece.column)
+        if self.fail:
+            said = F.create_map(*[F.lit(x) for k, m in encode.MESSAGES.items() for x in (k, f"{column_name(item)}: {m}")])
+            good = good.otherwise(F.raise_error(F.element_at(said, wrong)).cast("string" if piece.is_hex else "binary"))
+        return encode.Piece(good, piece.is_hex)
+
+    def _elementary(self, item: Item, value: Column | None, kind: DataType | None) -> tuple[encode.Piece, Column]:
+        f, enc, fill = item.field, self.fmt.encoding, self.fill
+        width, p = item.length_.args[0], f.picture
         if f.usage in ("index", "pointer"):
-            return F.coalesce(value, F.lit(bytearray(width))) if value is not None else F.lit(bytearray(width))
+            own = F.lit(bytearray(width)) if value is None else F.coalesce(value, F.lit(bytearray(width))) if fill else value
+            wrong = F.when(own.isNull(), "null_value").when(F.length(own) != width, "field_too_long")
+            return encode.Piece(own, False), wrong
+        if value is None:  # an item of no column is zero or spaces
+            text = p is not None and p.category != picture.NUMERIC and f.usage not in ("comp-1", "comp-2")
+            value, kind, fill = (F.lit(""), StringType(), True) if text else (F.lit(0), IntegerType(), True)
         if f.usage in ("comp-1", "comp-2"):
-            return encode.floating(value if value is not None else F.lit(0.0), f.usage == "comp-2", enc, name)
+            return encode.floating(value, f.usage == "comp-2", enc, fill)
         if p.category != picture.NUMERIC:
-            return encode.alphanumeric(value if value is not None else F.lit(""), width, enc, f.entry.justified, name)
-        value = value if value is not None else F.lit(0)
+            return encode.alphanumeric(value, width, enc, f.entry.justified, fill)
         if f.usage == "display":
-            return encode.zoned(value, p.digits, p.scale, p.signed, item.sign(), enc, name)
+            return encode.zoned(value, kind, p.digits, p.scale, p.signed, item.sign(), enc, fill)
         if f.usage in ("comp-3", "comp-6"):
-            return encode.packed(value, p.digits, p.scale, p.signed, name, f.usage == "comp-6")
-        return encode.binary(value, width, p.digits, p.scale, p.signed, enc, f.usage == "binary" and self.fmt.trunc == "std", name)
+            return encode.packed(value, kind, p.digits, p.scale, p.signed, f.usage == "comp-6", fill)
+        return encode.binary(value, kind, width, p.digits, p.scale, p.signed, enc, f.usage == "binary" and self.fmt.trunc == "std", fill)
+
+    def _parts(self, group: Item, value, kind) -> list[tuple[Item, Column | None, DataType | None]]:
+        """The items of a group that are written, with their values; `value` may be a dict of columns."""
+        out = []
+        for c in group.children:
+            if c.redefines is not None:
+                continue
+            own, name, sub = None, column_name(c), None
+            if isinstance(value, dict):
+                own, sub = value.get(name), kind.get(name)
+            elif value is not None and _shown(c, self.fmt.keep_filler):
+                known = {f.name.upper(): f for f in kind.fields} if isinstance(kind, StructType) else None
+                if known is None or name.upper() in known:
+                    own, sub = value[name], known[name.upper()].dataType if known else None
+            out.append((c, own, sub))
+        return out
+
+    def pieces(self, item: Item, value: Column | None, kind: DataType | None) -> list[encode.Piece]:
+        """All occurrences of an item; a table takes an array."""
+        most = lambda t: t.max_occurs
+        if not item.is_table:
+            return self._once(item, value, kind)
+        gap = item.stride_.value(most) - item.length_.value(most)
+        sub = kind.elementType if isinstance(kind, ArrayType) else None
+        one = lambda x: F.concat(*[p.hex() for p in self._once(item, x, sub)], F.lit("00" * gap))
+        if value is None:
+            return [encode.Piece(F.repeat(one(None), item.max_occurs if item.control is None else 0))]
+        own = F.coalesce(value, F.array())
+        if item.control is None and item.max_occurs <= 8 and not item.field.is_group:
+            every = [F.when(F.size(own) > k, one(F.get(own, F.lit(k)))).otherwise(one(None)) for k in range(item.max_occurs)]
+            full = F.concat(*every)
+        else:
+            full = F.array_join(F.transform(own, one), "")
+            if item.control is None:  # missing elements at the end are zero or spaces
+                full = F.concat(full, F.repeat(one(None), F.greatest(F.lit(0), F.lit(item.max_occurs) - F.size(own))))
+        return [self._demand(item, encode.Piece(full), self._count_fault(item, value))]
+
+    def _count_fault(self, item: Item, value: Column) -> Column:
+        """A table's array must not have more elements than the table; with DEPENDING ON, as many as its count says."""
+        size = F.size(F.coalesce(value, F.array()))
+        null = F.when(F.lit(False) if self.fill else value.isNull(), "null_value")
+        if item.control is None:
+            return null.when(size > item.max_occurs, "occurs_count")
+        said = self._control(item.control)
+        same = F.coalesce((said == size) & size.between(item.min_occurs, item.max_occurs), F.lit(False))
+        return null.when(~same, "occurs_count")
+
+    def _control(self, item: Item) -> Column:
+        """The value given for a controlling item; in a table, that of its first occurrence, which readers look at."""
+        path, up = [item], item.parent
+        while up is not None:
+            path, up = [up, *path], up.parent
+        path = path[1:] if len(path) > 1 else path
+        own, kind = self.roots.get(column_name(path[0])), self.types.get(column_name(path[0]))
+        for k, step in enumerate(path):
+            if k and own is not None:
+                known = {f.name.upper(): f for f in kind.fields} if isinstance(kind, StructType) else None
+                here = known is None or column_name(step).upper() in known
+                own, kind = (own[column_name(step)], known[column_name(step).upper()].dataType if known else None) if here else (None, None)
+            if own is not None and step.is_table:
+                own, kind = F.get(own, F.lit(0)), kind.elementType if isinstance(kind, ArrayType) else None
+        return F.lit(0) if own is None else F.coalesce(own, F.lit(0)) if self.fill else own
+
+    def _once(self, item: Item, value, kind) -> list[encode.Piece]:
+        if not item.field.is_group:
+            piece, wrong = self._elementary(item, value, kind)
+            return [self._demand(item, piece, wrong)]
+        out = []
+        for c, own, sub in self._parts(item, value, kind):
+            slack = c.slack_.value(lambda t: t.max_occurs)
+            out += [encode.constant(bytes(slack))] if slack else []
+            out += self.pieces(c, own, sub)
+        return out
+
+    def faults(self, item: Item, value, kind) -> list[Column]:
+        """Arrays of the faults of an item's values and of those below it, in order of the layout."""
+        if item.is_table and value is not None:
+            sub = kind.elementType if isinstance(kind, ArrayType) else None
+            every = F.flatten(F.transform(F.coalesce(value, F.array()), lambda x: F.concat(*self._faults_once(item, x, sub))))
+            return [self._listed(item, self._count_fault(item, value)), every]
+        return self._faults_once(item, value, kind)
 
+    def _faults_once(self, item: Item, value, kind) -> list[Column]:
+        if item.field.is_group:
+            return [x for c, own, sub in self._parts(item, value, kind) if own is not None for x in self.faults(c, own, sub)] or [F.array().cast(ENCODE_FAULTS)]
+        return [self._listed(item, self._elementary(item, value, kind)[1])] if value is not None else [F.array().cast(ENCODE_FAULTS)]
+
+    def _listed(self, item: Item, wrong: Column) -> Column:
+        return F.when(wrong.isNull(), F.array().cast(ENCODE_FAULTS)).otherwise(F.array(F.struct(F.lit(column_name(item)).alias("field"), wrong.alias("kind"))))
+
+
+def _encoder(fmt: RecordFormat, columns: dict[str, Column], types: dict[str, DataType] | None, fail: bool, nulls: str) -> tuple[_Encoder, tuple]:
+    root, types = fmt.layout.root, types or {}
+    e = _Encoder(fmt, columns, types, fail, nulls)
+    if root.field.is_group and not root.is_table:
+        return e, (root, columns, types)
+    return e, (root, columns[column_name(root)], types.get(column_name(root)))
 
-def encode_column(fmt: RecordFormat, columns: dict[str, Column]) -> Column:
+
+def encode_column(fmt: RecordFormat, columns: dict[str, Column], types: dict[str, DataType] | None = None, fail: bool = True, nulls: str = "fail") -> Column:
     """Record bytes from a column per item of the record's top level.
 
     Redefining items are left out: bytes are written through the item redefined. Items of no
-    column are written as zero or spaces.
+    column are written as zero or spaces, and so are the elements that an array lacks to fill a
+    fixed table. Known types of columns make shorter expressions. What does not fit is an error,
+    or with `fail` false gives null.
     """
-    e, root, parts = _Encoder(fmt), fmt.layout.root, []
-    if not root.field.is_group:
-        return e.bytes(root, columns[column_name(root)])
-    for c in root.children:
-        if c.redefines is None:
-            slack = c.slack_.value(lambda t: t.max_occurs)
-            parts += [F.lit(bytearray(slack))] if slack else []
-            parts.append(e.bytes(c, columns.get(column_name(c))))
-    return F.concat(*parts)
+    e, own = _encoder(fmt, columns, types, fail, nulls)
+    return encode.joined(e.pieces(*own))
 
 
-def encode_records(df: DataFrame, fmt: RecordFormat, keep: tuple[str, ...] = (), column: str = "value") -> DataFrame:
-    """Rows to records: columns are matched to the record's items by name."""
+def encode_records(df: DataFrame, fmt: RecordFormat, keep: tuple[str, ...] = (), column: str = "value", mode: str = "FAILFAST", nulls: str = "fail") -> DataFrame:
+    """Rows to records: columns are matched to the record's items by name.
+
+    FAILFAST raises at a value that does not fit: a number of too many digits or decimals, a
+    text too long or outside the charset, an array longer than its table or of another length
+    than its DEPENDING ON count, a null. PERMISSIVE writes a null record for such a row and
+    lists the field and kind of every fault in `_faults`. With nulls="fill" null numbers are
+    written as zero, null texts as spaces and null arrays as empty ones instead.
+    """
+    if mode not in ENCODE_MODES:
+        raise ValueError(f"mode {mode!r} is none of {', '.join(ENCODE_MODES)}")
     names = {n.upper(): n for n in df.columns}
-    columns = {column_name(c): F.col(f"`{names[column_name(c).upper()]}`") for c in (fmt.layout.root.children or [fmt.layout.root]) if column_name(c).upper() in names}
-    return df.select(*keep, encode_column(fmt, columns).alias(column))
+    top = [c for c in (fmt.layout.root.children or [fmt.layout.root]) if column_name(c).upper() in names]
+    columns = {column_name(c): F.col(f"`{names[column_name(c).upper()]}`") for c in top}
+    types = {column_name(c): df.schema[names[column_name(c).upper()]].dataType for c in top}
+    own = encode_column(fmt, columns, types, mode == "FAILFAST", nulls).alias(column)
+    if mode == "FAILFAST":
+        return df.select(*keep, own)
+    e, at = _encoder(fmt, columns, types, False, nulls)
+    faults = F.concat(*e.faults(*at)).cast(ENCODE_FAULTS)
+    return df.select(*keep, F.when(F.size(faults) == 0, own).alias(column), faults.alias("_faults"))

@@ -10,7 +10,7 @@ from ..sources.records import cut_files
 
 
 def read_stream(spark: SparkSession, path: str, fmt: RecordFormat, mode: str = "PERMISSIVE", glob: str = "*") -> DataFrame:
-    """Record files that arrive in a folder, decoded; `_path` and `_seq` say where from.
+    """Record files that arrive in a folder, decoded; `_path`, `_seq` and `_offset` say where from.
 
     Each file is one row of bytes until it is cut, so this is for files of moderate size; large
     ones belong to the batch source, which splits them.
@@ -18,8 +18,9 @@ def read_stream(spark: SparkSession, path: str, fmt: RecordFormat, mode: str = "
     length = fmt.layout.length
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", glob).load(path)
     if fmt.layout.variable:
-        cut = cut_files(files, fmt).withColumnsRenamed({"path": "_path", "seq": "_seq"})
-        return decode_records(cut, fmt, "value", mode, keep=("_path", "_seq"))
+        cut = cut_files(files, fmt).withColumnsRenamed({"path": "_path", "seq": "_seq", "offset": "_offset"})
+        return decode_records(cut, fmt, "value", mode, keep=("_path", "_seq", "_offset"))
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.length("content") / length).cast("int") - 1))
     cut = files.where(F.length("content") > 0).select(F.col("path").alias("_path"), F.posexplode(F.transform(starts, lambda i: F.substring("content", i * length + 1, F.lit(length)))).alias("_seq", "value"))
-    return decode_records(cut, fmt, "value", mode, keep=("_path", "_seq"))
+    cut = cut.withColumn("_offset", F.col("_seq").cast("long") * length)
+    return decode_records(cut, fmt, "value", mode, keep=("_path", "_seq", "_offset"))

@@ -1,4 +1,4 @@
-"""Errors of copybooks, layouts and encodings; all are raised while a plan is made."""
+"""Errors of sources, copybooks, layouts and encodings; those of records are raised while a plan is made."""
 
 
 class MainframeError(ValueError):
@@ -45,6 +45,18 @@ class UnexpectedTokenError(MainframeError):
     pass
 
 
+class UnexpectedKeywordError(UnexpectedTokenError):
+    """A word stands where one of a few others should."""
+
+
+class SearchAllConstraintError(UnexpectedTokenError):
+    """SEARCH ALL with another WHEN than one of equalities and condition-names joined by AND."""
+
+
+class UnsupportedNodeError(MainframeError):
+    """A tree holds a node that has no printed form."""
+
+
 class TrailingTokenError(MainframeError):
     pass
 

@@ -47,38 +47,90 @@ def tokens(df: DataFrame, fixed: bool = False) -> DataFrame:
     return _per_file(df, TOKENS, lambda c: [(k, t.line, t.column, t.type, t.value) for k, t in enumerate(lexer.tokenize(c, fixed))])
 
 
-def ast_nodes(df: DataFrame, fixed: bool = False, copybooks: dict[str, str] | None = None) -> DataFrame:
-    """The syntax tree of source files, a row per node, parents by id within the file."""
+def _parsed(content: str, fixed: bool, copybooks: dict[str, str] | None, fragment: bool, decimal_comma: bool) -> parser.Node:
     resolver = lexer.map_copybooks(copybooks) if copybooks is not None else None
-    return _per_file(df, NODES, lambda c: [(*r[:7], list(r[7].items())) for r in parser.rows(parser.parse(c, fixed, resolver))])
+    return parser.parse(content, fixed, resolver, fragment, decimal_comma, empty=True)
 
 
-def copybook_entries(df: DataFrame, fixed: bool = False) -> DataFrame:
+def ast_nodes(df: DataFrame, fixed: bool = False, copybooks: dict[str, str] | None = None, fragment: bool = False, decimal_comma: bool = False) -> DataFrame:
+    """The syntax tree of source files, a row per node, parents by id within the file.
+
+    With `fragment` the files are copybooks: data description entries and nothing else. An empty
+    source is an empty file.
+    """
+    return _per_file(df, NODES, lambda c: [(*r[:7], list(r[7].items())) for r in parser.rows(_parsed(c, fixed, copybooks, fragment, decimal_comma))])
+
+
+def copybook_entries(df: DataFrame, fixed: bool = False, decimal_comma: bool = False) -> DataFrame:
     """The data description entries of copybooks."""
     def make(content):
-        for k, e in enumerate(copybook.parse_entries(content, fixed)):
+        for k, e in enumerate(copybook.parse_entries(content, fixed, decimal_comma=decimal_comma)):
             low, high = e.occurs or (None, None)
             yield k, e.line, e.level, e.name, e.picture, e.usage, e.redefines, low, high, e.depending
 
     return _per_file(df, ENTRIES, lambda c: list(make(c)))
 
 
-def printed(df: DataFrame, fixed: bool = False) -> DataFrame:
+def printed(df: DataFrame, fixed: bool = False, copybooks: dict[str, str] | None = None, fragment: bool = False, decimal_comma: bool = False) -> DataFrame:
     """path and canonical free-format text of source files."""
-    return _per_file(df, "path string, text string", lambda c: [(parser.print_source(parser.parse(c, fixed)),)])
+    return _per_file(df, "path string, text string", lambda c: [(parser.print_source(_parsed(c, fixed, copybooks, fragment, decimal_comma)),)])
 
 
-def parse_errors(df: DataFrame, fixed: bool = False) -> DataFrame:
+def parse_errors(df: DataFrame, fixed: bool = False, copybooks: dict[str, str] | None = None, fragment: bool = False, decimal_comma: bool = False) -> DataFrame:
     """path, kind and message of files that do not parse."""
     def make(content):
         try:
-            parser.parse(content, fixed)
+            _parsed(content, fixed, copybooks, fragment, decimal_comma)
         except errors.MainframeError as e:
             yield type(e).__name__, str(e)
 
     return _per_file(df, "path string, kind string, message string", lambda c: list(make(c)))
 
 
+def clauses(nodes: DataFrame) -> DataFrame:
+    """path, level, name and kind of every data clause with its attributes, from ast_nodes()."""
+    entries = nodes.where("kind = 'DataDescriptionEntry'").select("path", F.col("node_id").alias("entry"), F.col("attrs")["level"].alias("level"), F.col("attrs")["name"].alias("name"))
+    own = nodes.where("role = 'clause'").select(F.col("path").alias("p"), F.col("parent_id").alias("up"), "ordinal", "kind", "attrs")
+    joined = entries.join(own, (F.col("path") == F.col("p")) & (F.col("entry") == F.col("up")))
+    return joined.select("path", "entry", "level", "name", "ordinal", "kind", "attrs")
+
+
+def register_functions(spark: SparkSession) -> None:
+    """picture_info(text) as a scalar SQL function, and cobol_tokens(text) and cobol_nodes(text) as table functions."""
+    import pandas as pd
+    from pyspark.sql.functions import pandas_udf, udtf
+
+    from ..functions import picture
+
+    def info(text):
+        try:
+            p = picture.parse(text)
+        except errors.MainframeError as e:
+            return None, None, None, None, None, type(e).__name__
+        return p.category, p.digits, p.scale, p.signed, p.size, None
+
+    columns = ["category", "digits", "scale", "signed", "size", "error"]
+
+    @pandas_udf("category string, digits int, scale int, signed boolean, size int, error string")
+    def picture_info(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(None,) * 6 if t is None else info(t) for t in texts], columns=columns, dtype=object)
+
+    @udtf(returnType="seq int, line int, col int, type string, value string")
+    class Tokens:
+        def eval(self, text: str):
+            for k, t in enumerate(lexer.tokenize(text or "")):
+                yield k, t.line, t.column, t.type, t.value
+
+    @udtf(returnType="node_id int, parent_id int, ordinal int, role string, kind string, line int, col int, attrs map<string, string>")
+    class Nodes:
+        def eval(self, text: str):
+            yield from parser.rows(_parsed(text or "", False, None, False, False))
+
+    spark.udf.register("picture_info", picture_info)
+    spark.udtf.register("cobol_tokens", Tokens)
+    spark.udtf.register("cobol_nodes", Nodes)
+
+
 def call_graph(nodes: DataFrame) -> DataFrame:
     """caller file, called program and number of CALL statements, from ast_nodes()."""
     calls = nodes.where("kind = 'CallStatement'").select("path", F.col("node_id").alias("call"))

@@ -40,6 +40,7 @@ _RULES = re.compile(
     |(?P<space>\s+)""",
     re.VERBOSE | re.DOTALL,
 )
+_COMMA_NUMBER = re.compile(r"(?P<number>[+-]?[0-9]+(?:,[0-9]+)?)")
 _PICTURE = re.compile(r"[^\s]+?(?=[.,;]?(?:\s|$))")
 
 
@@ -112,7 +113,7 @@ def tokenize(source: str, fixed: bool = False, decimal_comma: bool = False) -> I
                 continue
         m = _RULES.match(source, at)
         if m and m.lastgroup == "number" and decimal_comma:
-            m = re.compile(r"(?P<number>[+-]?[0-9]+(?:,[0-9]+)?)").match(source, at) or m
+            m = _COMMA_NUMBER.match(source, at) or m
         if not m:
             if source[at] in "\"'":
                 raise errors.UnterminatedStringError(f"{place(at)}: literal without an end")
@@ -178,7 +179,7 @@ def _text_words(tokens: list[Token]) -> list[tuple[str, str]]:
     return [(t.type, t.value if t.type == STRING else t.value.upper()) for t in tokens]
 
 
-def expand(tokens: Iterator[Token], resolver: Resolver | None = None, fixed: bool = False, open_: tuple[str, ...] = ()) -> Iterator[Token]:
+def expand(tokens: Iterator[Token], resolver: Resolver | None = None, fixed: bool = False, open_: tuple[str, ...] = (), decimal_comma: bool = False) -> Iterator[Token]:
     """Tokens with listing directives dropped and every COPY replaced by its copybook."""
     own = iter(tokens)
     fresh = True
@@ -220,7 +221,7 @@ def expand(tokens: Iterator[Token], resolver: Resolver | None = None, fixed: boo
                     at += 1
                     continue
                 u = statement[at]
-                operands.append(list(tokenize(u.value[2:-2], False)) if u.type == PSEUDO else [u])
+                operands.append(list(tokenize(u.value[2:-2], False, decimal_comma)) if u.type == PSEUDO else [u])
                 at += 1
             if not operands or len(operands) % 2:
                 raise errors.UnexpectedTokenError(f"line {t.line}: REPLACING needs pairs")
@@ -229,7 +230,7 @@ def expand(tokens: Iterator[Token], resolver: Resolver | None = None, fixed: boo
             raise errors.MissingCopyBookResolverError(f"line {t.line}: COPY {name} without a library")
         if name.upper() in open_:
             raise errors.CopyBookCycleError(" -> ".join((*open_, name.upper())))
-        book = [u for u in expand(tokenize(resolver(name, library), fixed), resolver, fixed, (*open_, name.upper()))]
+        book = [u for u in expand(tokenize(resolver(name, library), fixed, decimal_comma), resolver, fixed, (*open_, name.upper()), decimal_comma)]
         yield from _replace(book, pairs)
         fresh = True
 

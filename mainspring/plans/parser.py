@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 
 from .. import errors
 from . import copybook, lexer
-from .lexer import COMMENT, NUMBER, PICTURE, STRING, SYMBOL, WORD, Token
+from .lexer import COMMENT, NUMBER, STRING, SYMBOL, WORD, Token
 
 
 @dataclass
@@ -42,6 +42,7 @@ class Node:
 
 IN, OUT, LINE = "\x01", "\x02", "\x03"  # indent, dedent and line break in a form
 
+#: The verbs, figurative constants, phrase words, classes and signs of the language.
 VERBS = {"DISPLAY", "MOVE", "ACCEPT", "CALL", "GO", "CONTINUE", "GOBACK", "IF", "NEXT", "PERFORM", "ADD", "SUBTRACT", "MULTIPLY", "DIVIDE", "COMPUTE", "STOP", "EXIT", "OPEN", "CLOSE", "READ", "WRITE", "REWRITE", "DELETE", "START", "SORT", "MERGE", "RELEASE", "RETURN", "EVALUATE", "INITIALIZE", "SET", "STRING", "UNSTRING", "INSPECT", "SEARCH"}
 FIGURATIVE = {"ZERO", "ZEROS", "ZEROES", "SPACE", "SPACES", "HIGH-VALUE", "HIGH-VALUES", "LOW-VALUE", "LOW-VALUES", "QUOTE", "QUOTES", "NULL", "NULLS"}
 #: Words that end a list of operands.
@@ -100,6 +101,9 @@ class Parser:
         raise errors.UnexpectedTokenError(f"line {t.line}, column {t.column}: unexpected {t.value!r}")
 
     def must(self, *words: str) -> str:
+        t = self.peek()
+        if t is not None and t.type == WORD and not t.is_word(*words):
+            raise errors.UnexpectedKeywordError(f"line {t.line}, column {t.column}: {t.value!r} where {' or '.join(words)} should stand")
         return self.take(*words) or self.fail()
 
     def need(self, value: str) -> None:
@@ -885,7 +889,7 @@ class Parser:
             cond = self.condition()
             whens += 1
             if "all" in n.attrs and (whens > 1 or not _plain(cond)):
-                raise errors.UnexpectedTokenError(f"line {w.line}: SEARCH ALL takes one WHEN of equalities and condition-names joined by AND")
+                raise errors.SearchAllConstraintError(f"line {w.line}: SEARCH ALL takes one WHEN of equalities and condition-names joined by AND")
             n.add(LINE).child("when", self.body(w.child("cond", cond), "body"))
         if self.take("END-SEARCH"):
             n.attrs["end"] = "true"
@@ -893,12 +897,19 @@ class Parser:
 
     # structure
 
-    def file(self, fragment: bool = False) -> Node:
+    def file(self, fragment: bool = False, empty: bool = False) -> Node:
+        """Programs one after another; with `fragment` data description entries and nothing else."""
         n = self.node("File")
+        if fragment:
+            n.child("fragment", self.entries(self.node("Fragment"), "entry", True))
+            t = self.peek()
+            if t is not None:
+                raise errors.TrailingTokenError(f"line {t.line}, column {t.column}: {t.value!r} behind the entries of a fragment")
+            return n
         while self.peek() is not None:
             n.child("program", self.program())
             n.add(LINE)
-        if not n.children():
+        if not n.children() and not empty:
             raise errors.UnexpectedEndOfTokensError("no program")
         return n
 
@@ -1035,8 +1046,11 @@ class Parser:
         self.need(".")
         return n.add(".")
 
-    def entries(self, n: Node, role: str) -> Node:
-        """Data description entries; the indentation follows their levels."""
+    def entries(self, n: Node, role: str, last: bool = False) -> Node:
+        """Data description entries, with a node for each clause; the indentation follows their levels.
+
+        With `last` the comments behind the last entry belong to n.
+        """
         stack: list[int] = []
         while (t := self.peek()) is not None and t.type == NUMBER and t.value.isdigit():
             e, start = self.noting("DataDescriptionEntry"), self.at
@@ -1047,7 +1061,7 @@ class Parser:
             level = int(own[0].value)
             if not (1 <= level <= 49 or level in (66, 77, 88)):
                 raise errors.InvalidLevelNumberError(f"line {t.line}: level {level}")
-            copybook.entry_of(own)
+            entry = copybook.entry_of(own)
             if level in (1, 77, 66):
                 stack = [level] if level != 66 else []
             elif level != 88:
@@ -1055,10 +1069,18 @@ class Parser:
                     stack.pop()
                 stack.append(level)
             depth = len(stack) if level == 88 else max(0, len(stack) - 1)
-            name = own[1].value if own[1].type == WORD else ""
-            e.attrs |= {"level": f"{level:02d}", "name": name, "clauses": " ".join(_clause_text(own[1:-1]))}
-            e.add(f"{level:02d}", e.attrs["clauses"], ".")
+            e.attrs |= {"level": f"{level:02d}", "name": entry.name or ("FILLER" if entry.filler else "")}
+            e.add(f"{level:02d}", e.attrs["name"])
+            for tokens, clause in copybook.clauses_of(own):
+                e.child("clause", _clause_node(tokens, clause))
+            e.attrs["clauses"] = " ".join(_text(c) for r, c in e.children() if r == "clause")
+            e.add(".")
             n.add(*([IN] * depth), LINE).child(role, e).add(*([OUT] * depth))
+        if last:
+            for _, t in self.comments[self.noted :]:
+                text = t.value.lstrip("*>/").strip()
+                n.add(LINE).child("comment", Node("Comment", t.line, t.column, {"text": text}).add(f"*> {text}".rstrip()))
+            self.noted = len(self.comments)
         return n
 
     def data(self) -> Node:
@@ -1156,17 +1178,65 @@ def _plain(cond: Node) -> bool:
     return cond.kind == "ConditionNameCondition" or cond.kind == "RelationCondition" and cond.attrs["op"] == "="
 
 
-def _clause_text(tokens: list[Token]) -> Iterator[str]:
-    for t in tokens:
-        yield t.value if t.type in (STRING, PICTURE) else t.value.upper() if t.type == WORD and t.value.upper() in _UPPER else t.value
+def _text(n: Node) -> str:
+    return " ".join(_text(p[1]) if isinstance(p, tuple) else p for p in n.form)
 
 
-_UPPER = {"PIC", "PICTURE", "IS", "USAGE", "VALUE", "VALUES", "OCCURS", "TIMES", "TO", "DEPENDING", "ON", "REDEFINES", "RENAMES", "THROUGH", "THRU", "SIGN", "LEADING", "TRAILING", "SEPARATE", "CHARACTER", "SYNC", "SYNCHRONIZED", "JUST", "JUSTIFIED", "RIGHT", "BLANK", "WHEN", "GLOBAL", "EXTERNAL", "FILLER", *copybook.USAGES}
+def _clause_node(tokens: list[Token], e: copybook.Entry) -> Node:
+    """A data clause as a node of its own kind, whose form is its canonical spelling."""
+    def make(kind: str, *form: str, **attrs) -> Node:
+        return Node(kind, tokens[0].line, tokens[0].column, {k: str(v) for k, v in attrs.items() if v not in (None, "", False)}).add(*form)
 
+    def word(value: str) -> Node:
+        at = next((t for t in tokens if t.value == value), tokens[0])
+        return Node("Word", at.line, at.column, {"value": value}).add(value)
 
-def parse(source: str, fixed: bool = False, resolver: lexer.Resolver | None = None) -> Node:
-    """A source of one or more programs to its tree."""
-    return Parser(list(lexer.expand(lexer.tokenize(source, fixed), resolver, fixed))).file()
+    if e.redefines:
+        return make("RedefinesClause", "REDEFINES").child("name", word(e.redefines))
+    if e.picture is not None:
+        return make("PictureClause", "PIC", e.picture, picture=e.picture)
+    if e.usage:
+        usage = tokens[-1].value.upper()
+        return make("UsageClause", "USAGE", usage, usage=usage)
+    if e.values:
+        n = make("ValueClause", "VALUE")
+        for low, high in e.values:
+            v = make("ValueRange" if high else "ValueSpec", low, **{"from": low, "through": high})
+            n.child("value", v.add("THROUGH", high) if high else v)
+        return n
+    if e.occurs:
+        low, high = e.occurs
+        n = make("OccursClause", "OCCURS", str(low), *(("TO", str(high)) if high is not None else ()), "TIMES", min=low, max=high)
+        if e.depending:
+            n.add("DEPENDING ON").child("depending", word(e.depending))
+        for up, key in e.keys:
+            k = make("OccursKey", "ASCENDING" if up else "DESCENDING", "KEY IS", order="ASCENDING" if up else "DESCENDING")
+            n.child("key", k.child("name", word(key)))
+        return n.add("INDEXED BY").child("index", word(e.indexed)) if e.indexed else n
+    if e.sign:
+        place = e.sign[0].upper()
+        return make("SignClause", "SIGN IS", place, "SEPARATE CHARACTER" if e.sign[1] else "", position=place, separate="true" if e.sign[1] else "")
+    if e.justified:
+        return make("JustifiedClause", "JUSTIFIED RIGHT")
+    if e.sync:
+        side = "" if e.sync == "default" else e.sync.upper()
+        return make("SynchronizedClause", "SYNCHRONIZED", side, direction=side)
+    if e.blank_when_zero:
+        return make("BlankWhenZeroClause", "BLANK WHEN ZERO")
+    if e.renames:
+        n = make("RenamesClause", "RENAMES").child("from", word(e.renames[0]))
+        return n.add("THROUGH").child("through", word(e.renames[1])) if e.renames[1] else n
+    return make("GlobalClause", "GLOBAL") if e.is_global else make("ExternalClause", "EXTERNAL")
+
+
+def parse(source: str, fixed: bool = False, resolver: lexer.Resolver | None = None, fragment: bool = False, decimal_comma: bool = False, empty: bool = False) -> Node:
+    """A source of one or more programs to its tree.
+
+    With `fragment` it is a copybook of data description entries and nothing else. `empty` lets
+    a source without any program be an empty file. `decimal_comma` reads 1,5 as a number.
+    """
+    tokens = lexer.expand(lexer.tokenize(source, fixed, decimal_comma), resolver, fixed, decimal_comma=decimal_comma)
+    return Parser(list(tokens)).file(fragment, empty)
 
 
 def print_source(node: Node) -> str:
@@ -1176,6 +1246,8 @@ def print_source(node: Node) -> str:
 
     def walk(n: Node) -> None:
         nonlocal depth
+        if not n.form and n.kind not in ("File", "Fragment", "Paragraph"):
+            raise errors.UnsupportedNodeError(f"line {n.line}: a {n.kind or 'nameless'} node has no printed form")
         for part in n.form:
             if part == IN:
                 depth += 1
@@ -1190,7 +1262,8 @@ def print_source(node: Node) -> str:
                 out[-1] += part if glue else " " + part
 
     walk(node)
-    return "\n".join(line.rstrip() for line in out if line.strip()) + "\n"
+    text = "\n".join(line.rstrip() for line in out if line.strip())
+    return text + "\n" if text else ""
 
 
 def rows(node: Node) -> Iterator[tuple[int, int | None, int, str, str, int, int, dict]]:

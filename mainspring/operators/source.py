@@ -6,6 +6,7 @@ files (call graphs, copybook usage) is then joins and aggregations.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,7 +98,6 @@ def clauses(nodes: DataFrame) -> DataFrame:
 
 def register_functions(spark: SparkSession) -> None:
     """picture_info(text) as a scalar SQL function, and cobol_tokens(text) and cobol_nodes(text) as table functions."""
-    import pandas as pd
     from pyspark.sql.functions import pandas_udf, udtf
 
     from ..functions import picture

@@ -189,20 +189,27 @@ def floating(value: Column, double: bool, encoding: Encoding, fill: bool) -> tup
         over = F.lit(False) if double else (F.abs(x.cast("float").cast("double")) == float("inf")) & (F.abs(x) != float("inf"))
         return Piece(reversed_pairs(h, width) if encoding.byte_order == "little" else h), null.when(over, "float_range")
     bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToRawLongBits"), x).cast("long")
-    exponent = F.shiftright(bits, 52).bitwiseAND(F.lit(0x7FF).cast("long")).cast("int")
-    whole = bits.bitwiseAND(F.lit((1 << 52) - 1)) + F.lit(1 << 52)  # 53 bits, the value is whole / 2**53 * 2**power
-    power = exponent - 1022
-    hexes = F.ceil(power / 4).cast("int")
-    shift = 4 * hexes - power  # 0 to 3
-    by = lambda make: F.when(shift == 0, make(0)).when(shift == 1, make(1)).when(shift == 2, make(2)).otherwise(make(3))
-    if double:
-        size, fraction = 56, by(lambda s: F.shiftleft(whole, 3 - s))
-    else:
-        size, near = 24, by(lambda s: F.shiftright(whole + F.lit(1 << (28 + s)), 29 + s))
-        over = F.shiftright(near, 24) > 0
-        fraction, hexes = F.when(over, F.shiftright(near, 4)).otherwise(near), hexes + over.cast("int")
-    characteristic = (hexes + 64).cast("long")
-    outside = (exponent == 0x7FF) | (x != 0) & ~characteristic.between(0, 127)
-    top = F.when(bits < 0, characteristic + 128).otherwise(characteristic)
-    h = F.concat(F.lpad(F.hex(top.bitwiseAND(F.lit(255).cast("long"))), 2, "0"), F.lpad(F.hex(fraction), size // 4, "0"))
-    return Piece(F.when(x == 0, F.lit("0" * (2 * width))).otherwise(h)), null.when(outside, "float_range")
+    size = 56 if double else 24
+
+    def fraction_of(b: Column) -> tuple[Column, Column]:
+        """The characteristic and fraction of a hexadecimal float, from a double's bits."""
+        whole = b.bitwiseAND(F.lit((1 << 52) - 1)) + F.lit(1 << 52)  # 53 bits, the value is whole / 2**53 * 2**power
+        power = F.shiftright(b, 52).bitwiseAND(F.lit(0x7FF).cast("long")) - 1022
+        hexes = F.shiftright(power + 3, 2)
+        shift = 4 * hexes - power  # 0 to 3
+        by = lambda make: F.when(shift == 0, make(0)).when(shift == 1, make(1)).when(shift == 2, make(2)).otherwise(make(3))
+        if double:
+            return hexes + 64, by(lambda s: F.shiftleft(whole, 3 - s))
+        near = by(lambda s: F.shiftright(whole + F.lit(1 << (28 + s)), 29 + s))
+        return hexes + 64 + F.shiftright(near, 24), F.when(F.shiftright(near, 24) > 0, F.shiftright(near, 4)).otherwise(near)
+
+    def shown(b: Column) -> Column:
+        characteristic, fraction = fraction_of(b)
+        top = F.when(b < 0, characteristic + 128).otherwise(characteristic).bitwiseAND(F.lit(255).cast("long"))
+        return F.when(x == 0, F.lit("0" * (2 * width))).otherwise(F.concat(F.lpad(F.hex(top), 2, "0"), F.lpad(F.hex(fraction), size // 4, "0")))
+
+    def outside(b: Column) -> Column:
+        return (x != 0) & ~fraction_of(b)[0].between(0, 127) | (F.shiftright(b, 52).bitwiseAND(F.lit(0x7FF).cast("long")) == 0x7FF)
+
+    once = lambda make: F.get(F.transform(F.array(bits), make), F.lit(0))  # noqa: E731  the bits are had once, not wherever they are used
+    return Piece(once(shown)), null.when(once(outside), "float_range")

@@ -28,6 +28,7 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{14,}(?:=+(?![A-Za-z0-9+/_=-]))?")
 NAME_CHARACTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.-")
 CONTEXT = re.compile(r"(key|secret|token|passw|passphrase|pwd|auth|credential|bearer|private|signature|jwt|session|cookie|login)", re.ASCII | re.IGNORECASE)
+IDENTIFIER = re.compile(r"[A-Za-z][A-Za-z0-9]+")
 NAMES = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{3,}")  # the parts of identifiers
 IDENTIFIERS = b" ".join(
     b"""access account address api args array async auth authorization await aws base64 bearer bool
@@ -76,15 +77,18 @@ class Novelty:
 def names_of(text: str, spots: list[tuple[int, int]]) -> bytes:
     """The parts of identifiers in the text outside the candidates at `spots`, in order of place, once each.
 
-    Long parts that a candidate holds are left out: a secret that stands elsewhere too is no less new.
+    Identifiers of 16 characters or more that a candidate holds are left out: a secret that
+    stands elsewhere too is no less new.
     """
     own, at = {}, 0
     held = "\n".join(text[i:j] for i, j in spots)
     for i, j in [*spots, (len(text), len(text))]:
-        for m in NAMES.finditer(text, at, i):
-            own.setdefault(m[0])
+        for m in IDENTIFIER.finditer(text, at, i):
+            if len(m[0]) < 16 or m[0] not in held:
+                for part in NAMES.findall(m[0]):
+                    own.setdefault(part)
         at = j
-    return " ".join(w for w in own if len(w) < 8 or w not in held).encode()
+    return " ".join(own).encode()
 
 
 def in_context(text: str, i: int, context: int) -> bool:
@@ -119,7 +123,7 @@ def _merged(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
     return starts, ends
 
 
-def novel_spans(text: str, base: list, least: float = 0.6, reach: int = 256, context: int = 48) -> list[tuple[int, int, int]]:
+def novel_spans(text: str, base: list, least: float = 0.75, reach: int = 256, context: int = 48) -> list[tuple[int, int, int]]:
     """(start, kind index, end) of the candidates in sensitive context, apart from the base spans, of which at least `least` is new."""
     starts, ends = _merged(base)
     spots = []
@@ -133,9 +137,14 @@ def novel_spans(text: str, base: list, least: float = 0.6, reach: int = 256, con
     if not spots:
         return []
     novelty, found = Novelty(names_of(text, spots)), []
+    parts, at = [], 0
+    for i, j in spots:  # candidates are no surroundings of each other: many random ones would make any cheap
+        parts += [text[at:i], " " * (j - i)]
+        at = j
+    plain = "".join(parts) + text[at:]
     for i, j in spots:
         own = text[i:j]
-        before, behind = without(own, text[max(0, i - reach - len(own)) : i])[-reach:], without(own, text[j : j + reach + len(own)])[:reach]
+        before, behind = without(own, plain[max(0, i - reach - len(own)) : i])[-reach:], without(own, plain[j : j + reach + len(own)])[:reach]
         if novelty.share(own, before + behind) >= least:
             found.append((i, 3, j))
     return found
@@ -145,7 +154,7 @@ def render(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def find_secrets(docs: DataFrame, least: float = 0.6) -> DataFrame:
+def find_secrets(docs: DataFrame, least: float = 0.75) -> DataFrame:
     """Secrets of every whole text, with spans in code points, end exclusive.
 
     Returns doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_novel. A null text counts
@@ -167,7 +176,7 @@ def find_secrets(docs: DataFrame, least: float = 0.6) -> DataFrame:
     return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_novel long")
 
 
-def redact(docs: DataFrame, mask: str = "[secret]", least: float = 0.6) -> DataFrame:
+def redact(docs: DataFrame, mask: str = "[secret]", least: float = 0.75) -> DataFrame:
     """docs with every secret of `text` replaced by the mask and n_chars set to the new length.
 
     Overlapping spans are masked once. Null texts stay null, empty ones empty; n_chars is set

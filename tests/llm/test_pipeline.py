@@ -40,3 +40,24 @@ def test_stages_return_the_columns_of_documents(spark, tmp_path, stage):
     run = dict(corpus_pipeline.STAGES)[stage]
     assert run(spark, frame, str(tmp_path)).columns == frame.columns
     assert run(spark, frame.limit(0), str(tmp_path)).count() == 0
+
+
+ODD = [(1, "some words here to count", "en", "a"), (1, "some words here to count", "en", "a"), (None, "null id words", None, None), (2, "", None, None), (3, None, None, "b"), (3, "another text of the same id", "en", "b"), (4, words(4, 30_000), "en", "a")]
+
+
+@pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_on_odd_rows(spark, tmp_path, stage):
+    """Null ids and texts, repeated rows and ids, a very long text, columns with the stages' own names, and no row at all."""
+    docs_of(spark, [(*r,) for r in ODD]).select("doc_id", "text", "lang", "source", "n_chars", "score", "size", "t", "_id").selectExpr("*", "5 AS taken", "'x' AS target", "1 AS m", "2 AS h", "'k' AS key", "3 AS least").write.parquet(f"{tmp_path}/docs")
+    spark.createDataFrame([(1, "one two three four five"), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    frame = spark.read.parquet(f"{tmp_path}/docs")
+    out = dict(corpus_pipeline.STAGES)[stage](spark, frame, str(tmp_path))
+    rows = [(r.doc_id, r.text) for r in out.collect()]
+    if stage == "mixing":
+        assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "score", "t", "_id", "m", "h", "key", "least", "size", "source_size", "target", "taken"]
+        assert all(r.taken in (r["size"], 2 * r["size"]) and r["size"] == len(r.text.split()) for r in out.collect()) and rows
+    else:
+        assert out.columns == frame.columns
+        want = {"language": [r[:2] for r in ODD if r[1]], "near_duplicates": [(1, ODD[0][1]), (None, "null id words"), (2, ""), (3, ODD[5][1]), (4, ODD[6][1])]}.get(stage, [r[:2] for r in ODD])
+        assert sorted(map(str, rows)) == sorted(map(str, want))
+    assert dict(corpus_pipeline.STAGES)[stage](spark, frame.limit(0), str(tmp_path)).count() == 0

@@ -157,16 +157,24 @@ def map_copybooks(books: dict[str, str]) -> Resolver:
 def table_copybooks(files, suffixes: tuple[str, ...] = ("", ".cpy", ".CPY")) -> Resolver:
     """Copybooks from a DataFrame of `path` and `content` text, such as a listed folder.
 
-    The library comes to the driver: copybooks are source text, of a size a person wrote.
+    COPY name OF library looks in the folder named library, and COPY name anywhere, nearest to the
+    top first. The library comes to the driver: copybooks are source text, of a size a person wrote.
     """
-    known = {r["path"].rsplit("/", 1)[-1]: r["content"] for r in files.select("path", "content").toLocalIterator()}
+    rows = sorted(((r["path"], r["content"]) for r in files.select("path", "content").toLocalIterator()), key=lambda r: (r[0].count("/"), r[0]))
+    known: dict[str, str] = {}
+    for path, content in rows:
+        parts = path.split("/")
+        known.setdefault(parts[-1], content)
+        known.setdefault("/".join(parts[-2:]), content)
 
     def resolve(name: str, library: str) -> str:
-        for stem in (name, name.upper(), name.lower()):
-            for suffix in suffixes:
-                if stem + suffix in known:
-                    return known[stem + suffix]
-        raise errors.CopyBookNotFoundError(f"no copybook {name}")
+        for folder in ([library, library.upper(), library.lower()] if library else [""]):
+            for stem in (name, name.upper(), name.lower()):
+                for suffix in suffixes:
+                    key = f"{folder}/{stem}{suffix}" if folder else stem + suffix
+                    if key in known:
+                        return known[key]
+        raise errors.CopyBookNotFoundError(f"no copybook {name}" + (f" in {library}" if library else ""))
 
     return resolve
 

@@ -1147,8 +1147,16 @@ class Parser:
             while not self.symbol("."):
                 words.append(self.next().value)
             self.need(".")
-            u.attrs["spec"] = " ".join(w.upper() for w in words)
-            s.add(LINE).child("use", u.add(*words, "."))
+            upper = [w.upper() for w in words]
+            u.attrs["spec"] = " ".join(upper)
+            u.attrs["form"] = "debugging" if "DEBUGGING" in upper else "reporting" if "REPORTING" in upper else "exception" if {"EXCEPTION", "ERROR"} & set(upper) else "other"
+            if "GLOBAL" in upper:
+                u.attrs["global"] = "true"
+            last = max((k for k, w in enumerate(upper) if w in ("ON", "REPORTING", "PROCEDURE", "DEBUGGING")), default=len(words) - 1)
+            u.add(*upper[: last + 1])
+            for w in words[last + 1 :]:
+                u.child("target", Node("Word", u.line, u.column, {"value": w}).add(w))
+            s.add(LINE).child("use", u.add("."))
         while (t := self.peek()) is not None and not (t.type in (WORD, NUMBER) and self.sees("SECTION", ahead=1)) and not (self.sees("END") and self.sees("PROGRAM", "DECLARATIVES", ahead=1)) and not self.division("IDENTIFICATION", "ID"):
             s.add(LINE).child("paragraph", self._paragraph())
         return s

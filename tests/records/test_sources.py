@@ -90,3 +90,21 @@ def test_table_queries(spark, name):
     found = db.execute(sql)
     columns = [c[0] for c in found.description]
     assert Counter(map(tuple, own.select(*columns).collect())) == Counter(found.fetchall())
+
+
+@pytest.mark.parametrize(("spec", "form", "targets"), [("GLOBAL AFTER STANDARD ERROR PROCEDURE ON F1 F2", "exception", ["F1", "F2"]), ("AFTER EXCEPTION PROCEDURE INPUT", "exception", ["INPUT"]), ("BEFORE REPORTING R", "reporting", ["R"]), ("FOR DEBUGGING ON P1", "debugging", ["P1"])])
+def test_use_forms(spec, form, targets):
+    tree = parser.parse(f"IDENTIFICATION DIVISION. PROGRAM-ID. P. PROCEDURE DIVISION. DECLARATIVES. D SECTION. USE {spec}. E. CONTINUE. END DECLARATIVES. M. STOP RUN.")
+    rows = list(parser.rows(tree))
+    use = next(r for r in rows if r[4] == "UseStatement")
+    assert use[7]["form"] == form and [r[7]["value"] for r in rows if r[1] == use[0]] == targets and ("global" in use[7]) == ("GLOBAL" in spec)
+    assert f"USE {spec}." in parser.print_source(tree) and tree.same(parser.parse(parser.print_source(tree)))
+
+
+def test_copybooks_of_a_folder_and_its_libraries(spark):
+    files = spark.createDataFrame([("/src/part.cpy", "05 A PIC X."), ("/src/lib/part.cpy", "05 B PIC X."), ("/src/lib/OTHER", "05 C PIC X.")], "path string, content string")
+    books = lexer.table_copybooks(files)
+    for text, name in (("COPY PART.", "A"), ("COPY PART OF LIB.", "B"), ("COPY other.", "C"), ("COPY 'other' IN lib.", "C")):
+        assert [e.name for e in copybook.parse_entries("01 R. " + text, resolver=books)] == ["R", name]
+    with pytest.raises(errors.CopyBookNotFoundError):
+        copybook.parse_entries("01 R. COPY PART OF NOWHERE.", resolver=books)

@@ -44,19 +44,28 @@ def term_counts(text: str | None, prefixes: tuple = (5,)) -> Counter:
     return out
 
 
+class _Codes(dict):
+    """The row of each known word in `rows`, its number and that of its beginning; other words have the row of their beginning."""
+
+    def __init__(self, terms: dict[str, int], width: int) -> None:
+        begun = {w[:-1]: i for w, i in terms.items() if w[-1] == "*"}
+        whole = [w for w in terms if w[-1] != "*"]
+        super().__init__(zip(whole, range(len(whole))))
+        self.width, self.begun = width, {w: len(whole) + k for k, w in enumerate(begun)}
+        pairs = [(terms[w], begun.get(w[:width], -1) if len(w) >= width else -1) for w in whole]
+        self.rows = np.array([*pairs, *((i, -1) for i in begun.values()), (-1, -1)], np.int64)
+
+    def __missing__(self, word: str) -> int:
+        return self.begun.get(word[: self.width], len(self.rows) - 1) if len(word) >= self.width else len(self.rows) - 1
+
+
 def known_terms(terms: dict[str, int], width: int = 5) -> Callable:
-    """A function from a text to the counts of its terms by their numbers, without those not in `terms`."""
-    whole = {w: i for w, i in terms.items() if w[-1] != "*"}.get
-    begun = {w[:-1]: i for w, i in terms.items() if w[-1] == "*"}.get
-
-    def look_up(text: str | None) -> dict[int, int]:
-        own: dict[int, int] = {}
-        for w, n in Counter(words_of(text)).items():
-            if (i := whole(w)) is not None:
-                own[i] = n
-            if len(w) >= width and (i := begun(w[:width])) is not None:
-                own[i] = own.get(i, 0) + n
-        return own
+    """A function from a text to the numbers of its terms, ascending, and their counts, without those not in `terms`."""
+    codes = _Codes(terms, width)
+
+    def look_up(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        own = codes.rows[list(map(codes.__getitem__, words_of(text)))].reshape(-1)
+        return np.unique(own[own >= 0], return_counts=True)
 
     return look_up
 
@@ -107,7 +116,11 @@ class Index:
         return self
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest with a positive cosine, ties to earlier places."""
+        """Places and cosines of the k nearest with a positive cosine, ties to earlier places; never the one at `leave`.
+
+        The cosines of what can reach the k best by its bound are finished for those examples
+        alone, or for all if they are many.
+        """
         n = len(self.ids)
         row = self.row[terms]
         rare = row < 0
@@ -121,8 +134,7 @@ class Index:
         edge = np.partition(score, n - k)[n - k] if n > k else 0.0
         maybe = np.flatnonzero(score + bound >= edge - 1e-12)
         rest = often @ self.dense[np.ix_(row, maybe)] if 4 * len(maybe) < n else (often @ self.dense[row])[maybe]
-        score = score[maybe] + rest
-        score = np.round(np.where(maybe == leave, 0.0, score), 12)
+        score = np.round(np.where(maybe == leave, 0.0, score[maybe] + rest), 12)
         best = np.lexsort((maybe, -score))[:k]
         best = best[score[best] > 0]
         return maybe[best], score[best]
@@ -142,23 +154,20 @@ class ToxicityModel:
     def vector(self, counts: dict) -> tuple[np.ndarray, np.ndarray]:
         """Ascending term numbers and their unit weights, from counts of terms."""
         get = self.terms.get
-        return self._unit({t: n for w, n in counts.items() if (t := get(w)) is not None})
+        own = sorted((t, n) for w, n in counts.items() if (t := get(w)) is not None)
+        return self.unit(np.array([t for t, _ in own], np.int64), np.array([n for _, n in own], np.int64))
 
-    def vector_of(self, text: str | None, look_up: Callable) -> tuple[np.ndarray, np.ndarray]:
-        """The vector of term_counts(text); look_up is that of known_terms(self.terms)."""
-        return self._unit(look_up(text))
-
-    def _unit(self, own: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        at = np.fromiter(own, np.int64, len(own))
-        order = np.argsort(at)
-        at = at[order]
-        w = (1 + np.log(np.fromiter(own.values(), float, len(own))[order])) * self.idf[at]
+    def unit(self, at: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = (1 + np.log(counts)) * self.idf[at]
         norm = np.sqrt((w * w).sum())
         return at, w / norm if norm else w
 
     def margin(self, at: np.ndarray, w: np.ndarray, leave: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        """Log odds of the votes, each weighted by 1 / (distance + 0.1) and its class's sampling."""
-        place, cosine = self.index.nearest(at, w, self.k, leave) if len(at) else (np.zeros(0, np.int64), np.zeros(0))
+        """Log odds of the votes of the nearest examples, their places and cosines."""
+        return self.vote(*self.index.nearest(at, w, self.k, leave))
+
+    def vote(self, place: np.ndarray, cosine: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Each vote is weighted by 1 / (distance + 0.1) and its class's sampling."""
         vote = 1 / (1.1 - np.minimum(1, cosine))
         y = self.index.labels[place]
         pro, con = (vote * y).sum() * self.weights[1], (vote * (1 - y)).sum() * self.weights[0]
@@ -185,7 +194,7 @@ def frequencies(docs: DataFrame, terms: dict[str, int]) -> np.ndarray:
         for batch in slices(batches):
             for t in texts(batch):
                 rows += 1
-                n[list(look_up(t))] += 1
+                n[look_up(t)[0]] += 1
         at = np.flatnonzero(n)
         for k in range(0, max(1, len(at)), 1 << 16):
             part = at[k : k + (1 << 16)]
@@ -265,7 +274,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, model: ToxicityModel | No
             known = {}
             for t in texts(batch):
                 if t not in known and model:
-                    margin, place, cosine = model.margin(*model.vector_of(t, look_up))
+                    margin, place, cosine = model.margin(*model.unit(*look_up(t)))
                     known[t] = float(sigmoid(model.slope * margin + model.intercept)), place, cosine
             rows = [known.get(t, (0.0, np.zeros(0, np.int64), np.zeros(0))) for t in texts(batch)]
             score, place = np.array([r[0] for r in rows]), np.concatenate([r[1] for r in rows])

@@ -290,6 +290,30 @@ def test_block_max_index_is_exact():
         assert np.allclose(all_[best], cosine) and sorted(np.round(all_[place], 9)) == sorted(np.round(all_[best], 9))
 
 
+def test_block_max_index_of_rare_and_common_terms_is_exact():
+    """Against all cosines, for many vectors at once, of terms from one example's to every example's."""
+    rng = np.random.default_rng(16)
+    n, terms = 1000, 500
+    chance = np.minimum(1, 3 / np.arange(1, terms + 1) ** 0.8)
+    vectors = []
+    for _ in range(n):
+        t = np.flatnonzero(rng.random(terms) < chance)
+        w = rng.random(len(t)) * np.where(chance[t] > 0.1, 0.1, 1)
+        vectors.append((t, w / max(1e-9, np.sqrt((w * w).sum()))))
+    index = toxicity.Index(np.arange(n), np.zeros(n, int)).build(vectors, terms)
+    assert 5 < len(index.dense) < terms - 5
+    dense = np.zeros((n, terms))
+    for i, (t, w) in enumerate(vectors):
+        dense[i, t] = w
+    for i, (place, cosine) in enumerate(index.nearest(*v, 15) for v in vectors[:150]):
+        all_ = np.round(dense @ dense[i], 12)
+        best = np.lexsort((np.arange(n), -all_))[:15]
+        best = best[all_[best] > 0]
+        assert np.allclose(all_[best], cosine) and np.allclose(all_[place], cosine, atol=1e-9)
+    none = (np.zeros(0, np.int64), np.zeros(0))
+    assert [len(index.nearest(*v, 4)[0]) for v in (none, vectors[3])] == [0, 4]
+
+
 def test_quality(spark, odd, none):
     good = [(i, ". ".join(words(i * 7 + k, 9).capitalize() for k in range(8)), None, None) for i in range(150)]
     bad = [(200 + i, ("!!! ".join(words(i, 3, "ABCDEF").split()) + " $$$ ") * 9, None, None) for i in range(150)]
@@ -496,3 +520,253 @@ def test_windows_hold_every_anchor():
         text = "".join(rng.choices("abc 1@", weights=[9, 9, 9, 9, 1, 1], k=rng.randint(1, 400)))
         starts = pii.window_starts(text)
         assert all(any(s <= m.start() < s + pii.WIDTH for s in starts) for m in re.finditer("[0-9@]", text))
+
+
+def test_language_features_and_decoding_against_plain_versions():
+    """Hashed pairs and triples one by one, and the loss-weighted distance of every codeword one by one."""
+    text = "Ça va, the  quick-brown Fox 12"
+    raw = [b if 97 <= b <= 122 or b >= 128 else 32 for b in text.lower().encode()]
+    raw = [b for k, b in enumerate(raw) if b != 32 or raw[k - 1] != 32]
+    pairs, triples = [0.0] * language.BIGRAMS, [0.0] * language.TRIGRAMS
+    for a, b, c in zip(raw, raw[1:], raw[2:], strict=False):
+        pair = (a * 31 + b * 1021) % 2**32
+        triple = (pair * 2654435761 + c * 40503) % 2**32
+        pairs[(pair ^ (pair >> 7)) % language.BIGRAMS] += 1
+        triples[(triple ^ (triple >> 15)) % language.TRIGRAMS] += 1
+    plain = np.sqrt(np.array(pairs + triples) / sum(pairs))
+    assert np.allclose(language.features(text), plain, atol=1e-6) and not language.features("").any()
+    rng = np.random.default_rng(4)
+    for classes in (3, 8):
+        code = language.codewords(classes)
+        weights = rng.random(code.shape)
+        model = language.LanguageModel([f"l{k}" for k in range(classes)], code, rng.standard_normal((language.WIDTH, code.shape[1])) * 5, rng.standard_normal(code.shape[1]), weights / weights.sum(1, keepdims=True), 2.0)
+        x = rng.random((20, language.WIDTH)) * 0.1
+        for row, p in zip(x, model.probabilities(x), strict=True):
+            margin = [sum(row * model.weights[:, b]) + model.bias[b] for b in range(code.shape[1])]
+            far = [sum(model.bit_weights[c, b] * np.log1p(np.exp(-code[c, b] * margin[b])) for b in range(code.shape[1])) for c in range(classes)]
+            odds = np.exp(-2.0 * (np.array(far) - min(far)))
+            assert np.allclose(p, odds / odds.sum()) and np.argmax(p) == np.argmin(far)
+
+
+def test_ambiguous_texts_are_flagged_and_rejected(spark):
+    """A text half in one language and half in the other is kept only if ambiguity is of no account."""
+    rows = [(i, words(i, 40, "aeioulmn" if i % 2 else "krstvwxz"), "vo" if i % 2 else "co", "s") for i in range(300)]
+    model = language.train(docs_of(spark, rows))
+    pieces = [words(k, 30, "aeioulmn") + " " + words(900 + k, n, "krstvwxz") for k in range(40) for n in range(24, 37)]
+    mixed = docs_of(spark, [(1000 + k, t, None, None) for k, t in enumerate(pieces)])
+    found = language.identify_language(mixed, model).collect()
+    vague = {r.doc_id for r in found if r.ambiguous}
+    assert vague and {r.doc_id for r in language.keep_known(mixed, model).collect()} == {r.doc_id for r in found} - vague
+    assert language.keep_known(mixed, model, ambiguity=0.0).count() == len(pieces)
+    assert language.keep_known(docs_of(spark, rows), model).count() == len(rows)
+
+
+def test_samples_do_not_depend_on_partitions(spark):
+    rows = [(i % 700, words(i, 20, "aeioulmn" if i % 2 else "krstvwxz"), "vo" if i % 700 % 2 else "co", "s") for i in range(1400)] + [(3, "the same row again", "vo", "s")] * 500
+    frame = docs_of(spark, rows)
+    a, b = (language.train(f, per_class=50) for f in (frame.repartition(7), frame.coalesce(1)))
+    assert np.allclose(a.weights, b.weights) and a.langs == b.langs
+
+
+def test_planted_secrets_of_many_shapes(spark):
+    """Recall on random keys of several alphabets and lengths, and precision on names, numbers in prose and paths."""
+    rng = random.Random(21)
+    alphabets = ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHJKLMNPQRSTUVWXYZ23456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
+    heads = ["private_key: ", "session=", "Authorization: Bearer ", "signature = ", "the login credential is ", "client cookie -> "]
+    prose = "the service reads its configuration and opens a connection for every request that a client sends "
+    rows, want = [], {}
+    for k in range(240):
+        key = "".join(rng.choices(alphabets[k % 4], k=rng.choice([20, 24, 32, 40, 64])))
+        rows.append((k, prose * rng.randint(0, 3) + rng.choice(heads) + key + " " + prose, None, None))
+        want[k] = key
+    parts = ["request", "configuration", "connection", "authorization", "handler", "service", "client", "reader", "session", "token", "default", "internal"]
+    for k in range(240, 480):
+        name = rng.choice("_-/").join(rng.choices(parts, k=rng.randint(3, 5)))
+        rows.append((k, prose + rng.choice(heads) + name + " " + prose, None, None))
+    got = {r.doc_id: r.spans for r in secrets.find_secrets(docs_of(spark, rows)).collect()}
+    hit = sum(any(s.startswith(("novel", "hex", "assign")) and rows[k][1][int(s.split(":")[1]) : int(s.split(":")[2])].endswith(want[k]) for s in got[k].split(",") if s) for k in want)
+    wrong = sum(bool(got[k]) for k in range(240, 480))
+    assert hit / len(want) > 0.95 and wrong / 240 < 0.05
+
+
+def test_identifiers_of_the_text_prime_the_dictionary():
+    name = "zorbulator_quintflex_handle"
+    near, far = "session = " + name, "zorbulator and quintflex are our words. " + "x " * 400 + "session = " + name
+    assert secrets.novel_spans(near, []) and not secrets.novel_spans(far, [])
+    assert secrets.names_of("Alpha betaGamma DELTA", [(6, 15)]) == b"Alpha DELTA"
+    key = "kJQsmLxQovTzgRmWqbYcuNdF"
+    assert secrets.novel_spans(f"{key} and far from it " + "x " * 400 + f"login: {key}", [])
+
+
+def test_many_secrets_in_one_text_take_one_walk():
+    rng = random.Random(2)
+    text = " ".join(f"password=hunter{k:06d}x login: " + "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=24)) for k in range(3000))
+    base = secrets.base_spans(text)
+    starts, ends = secrets._merged(base)
+    assert starts == sorted(starts) and all(e <= s for e, s in zip(ends, starts[1:], strict=False))
+    new = secrets.novel_spans(text, base)
+    assert len(base) == 3000 and len(new) > 2900 and all(not (s < j and i < e) for (i, _, j), (s, _, e) in zip(new, base, strict=False))
+
+
+def test_short_items_are_no_evidence(spark):
+    bench = spark.createDataFrame([(1, "Yes"), (2, "one two three four"), (3, "red green blue black white")], "item_id long, text string")
+    docs = docs_of(spark, [(1, "yes indeed", None, None), (2, "one two three four", None, None), (3, "so red green blue black white it is", None, None), (None, "red green blue black white", None, None), (4, "red green blue", None, None)])
+    assert [(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).orderBy("doc_id").collect()] == [(None, 3), (3, 3)]
+    assert sorted(r.doc_id for r in decontam.decontaminate(docs, bench).collect()) == [1, 2, 4]
+    twice = docs_of(spark, [(7, "clean words only here", None, None), (7, "red green blue black white", None, None)])
+    assert [r.text for r in decontam.decontaminate(twice, bench, block_items=1).collect()] == ["clean words only here"]
+
+
+def test_alignments_are_remembered_within_bounds():
+    rng = np.random.default_rng(3)
+    block = decontam.Items([(1, words(1, 30))], 4)
+    finder = decontam.Finder(block, 0.5, 40, 5)
+    finder.MEMO = 20_000
+    for _ in range(200):
+        part = rng.integers(0, 30, 40)
+        assert finder._aligned(0, part) == decontam.align(block.seqs[0], part)
+        assert sum(len(k[1]) + 256 for k in finder.known) <= 20_000
+    finder._aligned(0, np.zeros(2000, np.int64))
+    assert all(len(k[1]) < 2000 for k in finder.known)
+
+
+def plain_best(lengths, counts, budget):
+    sums = {0}
+    for n, c in zip(lengths, counts, strict=True):
+        sums = {s + n * k for s in sums for k in range(c + 1) if s + n * k <= budget}
+    return max(sums)
+
+
+def test_fill_against_every_subset_sum():
+    rng = random.Random(19)
+    assert mixing.fill([34, 2], [2, 3], 68) == [2, 0]
+    for _ in range(1500):
+        lengths = rng.sample(range(0, 60), rng.randint(1, 5))
+        counts = [rng.randint(1, 4) for _ in lengths]
+        budget = rng.randint(0, sum(n * c for n, c in zip(lengths, counts, strict=True)))
+        take = mixing.fill(lengths, counts, budget)
+        assert sum(n * k for n, k in zip(lengths, take, strict=True)) == plain_best(lengths, counts, budget)
+        assert all(0 <= k <= c for k, c in zip(take, counts, strict=True))
+    for _ in range(100):  # beyond the capacity the last words are still fitted
+        lengths = rng.sample(range(1, 300), 30)
+        counts = [rng.randint(1, 50) for _ in lengths]
+        budget = rng.randint(5000, sum(n * c for n, c in zip(lengths, counts, strict=True)))
+        take = mixing.fill(lengths, counts, budget, capacity=2000)
+        assert sum(n * k for n, k in zip(lengths, take, strict=True)) == min(budget, sum(n * c for n, c in zip(lengths, counts, strict=True)))
+
+
+def test_taking_what_the_mix_takes(spark, tmp_path):
+    """take() and mix() agree row by row; a hot id, equal rows, nulls, and columns with the mix's own names."""
+    rows = [(i, words(i, 1 + i % 20), None, "abc"[i % 3]) for i in range(400)] + [(7, "a hot id of six words", None, "a")] * 300 + [(None, "null id here", None, "b")] * 20 + [(900, None, None, None), (901, "x y", None, None)]
+    frame = spark.createDataFrame([(i, t, s, 5, "y", 1.0, "k", 2) for i, t, _, s in rows], "doc_id long, text string, source string, size int, taken string, Target double, s string, m int").repartition(5)
+    frame.write.parquet(f"{tmp_path}/docs")
+    frame = spark.read.parquet(f"{tmp_path}/docs")
+    whole = mixing.mix(frame).where("taken > 0").groupBy("doc_id", "size", "taken", "target").count()
+    taken = mixing.take(frame)
+    assert taken.columns == ["doc_id", "text", "source", "s", "m", "size", "source_size", "target", "taken"]
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(key, taken.groupBy("doc_id", "size", "taken", "target").count().collect())) == sorted(map(key, whole.collect()))
+    for r in taken.groupBy("source").agg({"taken": "sum", "target": "max"}).collect():
+        assert 0 <= r["max(target)"] - r["sum(taken)"] < 2
+
+
+def test_one_row_of_each_component_stays(spark):
+    base = [(5, "alpha beta gamma delta epsilon", "en", "a"), (3, "alpha beta gamma delta epsilon", "en", "b"), (None, "alpha beta gamma delta epsilon", None, None), (3, "quite other words stand in this one", "en", "a"), (3, "quite other words stand in this one", "en", "a"), (None, "only null ids have this text here", None, None), (None, "only null ids have this text here", "en", None), (None, "and a second text of null ids", None, None), (9, None, None, None), (8, "", None, None)]
+    got = simhash.one_of_each(docs_of(spark, base)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == sorted([("3", "alpha beta gamma delta epsilon"), ("3", "quite other words stand in this one"), ("None", "only null ids have this text here"), ("None", "and a second text of null ids"), ("8", "")])
+    assert simhash.one_of_each(docs_of(spark, [])).count() == 0
+
+
+def test_masks_of_many_turns(spark):
+    """Against plain positions, with repeated turns and more of them than one piece of running sums holds."""
+    rows = [(k % 3, k // 3, "assistant" if k % 2 else "user", f"turn {k}" * (k % 5)) for k in range(900)] + [(0, 4, "assistant", "again")] * 3
+    conv = spark.createDataFrame([(a, b, c, d, "x", 1) for a, b, c, d in rows], "conv_id long, turn long, role string, text string, lang string, pair_id int")
+    own = chat.turns(conv).selectExpr("conv_id AS pair_id", "turns AS chosen", "slice(turns, 1, 2) AS rejected")
+    for r in chat.format_preferences(own).collect():
+        spans = [tuple(map(int, m.split(":"))) for m in r.chosen_mask.split(",")]
+        want = [m.span(1) for m in re.finditer(r"<\|assistant\|>\n((?:(?!<\|end\|>).)*<\|end\|>\n)", r.chosen)]
+        assert spans == want and len(spans) > 90
+    pairs = chat.revisit_pairs(conv)
+    assert chat.format_preferences(pairs.union(pairs.selectExpr("pair_id + 10", "chosen", "chosen")), equal="drop").count() == 3
+
+
+def test_windows_that_are_left_out_lose_no_span(tagger):
+    """Tagging all windows of whole texts gives the same spans; tags keep to the hard constraints."""
+    rng = random.Random(12)
+    texts = [t for t, _ in pii.synthetic(120, seed=5)] + ["x" * 3000, "a@" * 400, "1 " * 700, "", "Ünï 5 @", "m@n.o " * 300]
+    texts += ["".join(rng.choices(["word ", "a.b@c.de ", "555-123-4567 ", "(449) 555-9658", " ", "éé", "+", "@", "7"], k=60)) for _ in range(60)]
+    part = pii.tagged_spans(texts, tagger, batch=64)
+    assert part == pii.tagged_spans(texts, tagger, every=True) and sum(map(len, part)) > 300
+    for text, spans in zip(texts, part, strict=True):
+        for (kind, i, j), (_, k, _) in zip(spans, [*spans, (0, len(text) + 1, 0)][1:], strict=True):
+            assert j <= k and set(text[i:j]) <= set(pii._LOCAL + "@" if kind == 0 else "0123456789 ().+-")
+
+
+def test_one_path_over_stretches_is_the_best_one():
+    """Against scoring every allowed path of short stretches."""
+    import itertools
+
+    rng = np.random.default_rng(8)
+    trans = rng.standard_normal((pii.TAGS, pii.TAGS)).astype(np.float32)
+    parts = [rng.standard_normal((n, pii.TAGS)).astype(np.float32) for n in (1, 4, 2, 3, 4)]
+    for emit, tags in zip(parts, pii.decode(parts, trans), strict=True):
+        def score(path, emit=emit):
+            whole = [0, *path, 0]
+            return sum(emit[k, t] for k, t in enumerate(path)) + sum(trans[a, b] + pii._FOLLOWS[a, b] for a, b in zip(whole, whole[1:], strict=False))
+
+        best = max(itertools.product(range(pii.TAGS), repeat=len(emit)), key=score)
+        assert list(best) == tags
+    assert pii.spans_of([0, 1, 2, 2, 1, 3, 4, 0, 7], 10) == [(0, 11, 14), (0, 14, 15), (1, 15, 17), (3, 18, 19)]
+
+
+def test_quality_densities_against_solving():
+    """Log densities by solve and slogdet of the shrunk covariances, and statistics counted one by one."""
+    rng = np.random.default_rng(6)
+    y = rng.integers(0, 2, 300)
+    x = rng.standard_normal((300, 5)) @ rng.standard_normal((5, 5)) + y[:, None] * 2
+    model = quality.fit(x, y, np.ones(300))
+    z = np.clip((x - model.center) / model.scale, -12, 12)
+    for pool, round_ in ((0.0, 0.1), (0.6, 0.3)):
+        pair = quality._gaussians(z, y, pool, round_)
+        own = [np.cov(z[y == c].T, bias=True) for c in (0, 1)]
+        pooled = own[0] * (y == 0).mean() + own[1] * (y == 1).mean()
+        for c in (0, 1):
+            s = (1 - pool) * own[c] + pool * pooled
+            s = (1 - round_) * s + round_ * (np.trace(s) / 5 + 1e-6) * np.eye(5)
+            d = z - z[y == c].mean(0)
+            plain = -0.5 * (d * np.linalg.solve(s, d.T).T).sum(1) - 0.5 * np.linalg.slogdet(s)[1]
+            assert np.allclose(pair[c].log_density(z), plain)
+    margin = model.classes[1].log_density(z) - model.classes[0].log_density(z)
+    assert np.allclose(model.score(x), 1 / (1 + np.exp(-(model.slope * np.clip(margin, -200, 200) + model.intercept)))) and ((model.score(x) > 0.5) == (y == 1)).mean() > 0.8
+    text = "One two two.\nOne two two.\nAN extraordinarily-long word! || 42"
+    got, own = dict(zip(quality.NAMES, quality.statistics(text), strict=True)), text.split()
+    share = lambda k, n: np.log((k / n + 0.005) / (1.005 - k / n))
+    assert np.isclose(got["chars"], np.log1p(len(text))) and np.isclose(got["words"], np.log1p(len(own)))
+    assert np.isclose(got["distinct"], share(len(set(own)), len(own))) and np.isclose(got["commonest"], share(max(map(own.count, own)), len(own)))
+    assert np.isclose(got["upper"], share(sum(c.isupper() for c in text), len(text))) and np.isclose(got["digits"], share(2, len(text)))
+    assert np.isclose(got["lines"], np.log1p(3)) and np.isclose(got["repeated_lines"], share(1, 3)) and np.isclose(got["repeated_next"], share(0, len(own)))
+    assert np.isfinite(quality.statistics(None)).all() and (quality.statistics(None) == quality.statistics("")).all()
+
+
+def test_long_and_huge_vectors(spark):
+    """Exact integers, by Python's own, for vectors whose products pass 2 ** 53."""
+    rng = random.Random(4)
+    rows = [(i, [float(rng.randint(-(2**12), 2**12)) for _ in range(3000)]) for i in range(30)]
+    vectors = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, rank string")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.search(vectors, vectors.where("vec_id % 15 = 0"), 4, block_bytes=1000).collect()}
+    exact = [[int(x * 1024) for x in v] for _, v in rows]
+    for q in (0, 15):
+        best = sorted((-sum(a * b for a, b in zip(exact[q], exact[c], strict=True)), c) for c in range(30) if c != q)[:4]
+        assert [got[q, k + 1] for k in range(4)] == [(c, -s) for s, c in best]
+
+
+def test_toxicity_scores_of_odd_rows_are_those_of_no_neighbour(spark, odd):
+    rows, labels = toxic_rows(200)
+    model = toxicity.train(docs_of(spark, rows), spark.createDataFrame(labels, LABELS))
+    alone = float(toxicity.sigmoid(model.slope * model.vote(np.zeros(0, np.int64), np.zeros(0))[0] + model.intercept))
+    got = {r.doc_id: r for r in toxicity.score_toxicity(odd, None, model).collect()}
+    assert all(got[i].score == alone and got[i].evidence == [] for i in (1, 2, 3))
+    text = rows[0][1]
+    again = docs_of(spark, [(0, text, None, None), (0, text, None, None), (None, text, None, None)])
+    same = toxicity.score_toxicity(again, None, model).collect()
+    assert len(same) == 3 and len({r.score for r in same}) == 1 and [r.held_out for r in same if r.doc_id is None] == [False]

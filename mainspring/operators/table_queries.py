@@ -101,7 +101,13 @@ def record_stream_window(spark: SparkSession, sf_dir: str) -> DataFrame:
         batch.select(day, F.col("KIND").alias("kind"), "n", "cents").write.parquet(target)
         out[:] = [target]
 
-    query = counted.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    # A group for each day and kind is little state: a part of it for each core, not for each of the session's shuffle partitions.
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(min(int(parts), spark.sparkContext.defaultParallelism)))
+    try:
+        query = counted.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
     query.awaitTermination()
     return spark.read.parquet(out[0]) if out else spark.createDataFrame([], "day long, kind string, n long, cents long")
 

@@ -24,6 +24,7 @@ def read_fixed(spark: SparkSession, path: str, length: int) -> DataFrame:
 
 
 PIECE = 1 << 24
+STRETCH = 1 << 26
 
 
 def _file_system(uri: str):
@@ -150,6 +151,51 @@ def cut_files(files: DataFrame, fmt: RecordFormat) -> DataFrame:
     return own.mapInArrow(run, "path string, seq long, offset long, value binary")
 
 
+def cut_fixed(files: DataFrame, length: int) -> DataFrame:
+    """path, seq, offset, value: the records of `length` bytes of files, from their path, length and content.
+
+    Where content is null a file is read by its path through Arrow's file systems, in stretches
+    of whole records that are dealt over the cluster, so neither a file nor an array of its
+    records is ever one row. The last record of a file may be shorter.
+    """
+    import pyarrow as pa
+
+    schema = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("value", pa.binary())])
+    most = max(1, min(PIECE // length, 1 << 16))
+
+    def run(batches):
+        import numpy as np
+
+        for batch in batches:
+            for path, content, start, size in zip(batch.column("path").to_pylist(), batch.column("content"), batch.column("start").to_pylist(), batch.column("size").to_pylist(), strict=True):
+                if content.is_valid:
+                    source = pa.BufferReader(content.as_buffer())
+                else:
+                    system, own = _file_system(path)
+                    source = system.open_input_file(own)
+                with source:
+                    source.seek(start)
+                    at = start
+                    while at < start + size:
+                        piece = source.read_buffer(min(most * length, start + size - at))
+                        n, rest = divmod(len(piece), length)
+                        if at + len(piece) < start + size and (rest or not n):
+                            raise OSError(f"{path}: {start + size} bytes announced, {at + len(piece)} read")
+                        if n:
+                            value = pa.FixedSizeBinaryArray.from_buffers(pa.binary(length), n, [None, piece.slice(0, n * length)]).cast(pa.binary())
+                            yield pa.RecordBatch.from_arrays([pa.repeat(path, n), pa.array(at + length * np.arange(n, dtype=np.int64)), value], schema=schema)
+                        if rest:
+                            yield pa.RecordBatch.from_pydict({"path": [path], "offset": [at + n * length], "value": [piece.slice(n * length).to_pybytes()]}, schema=schema)
+                        at += len(piece)
+
+    step = max(1, STRETCH // length) * length
+    starts = F.when(F.col("content").isNull(), F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(step).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    size = F.when(F.col("content").isNull(), F.least(F.lit(step).cast("long"), F.col("length") - F.col("start"))).otherwise(F.col("length"))
+    own = files.where("length > 0").select("path", "length", "content", F.explode(starts).alias("start")).select("path", "start", size.alias("size"), "content")
+    cut = own.repartition(files.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, "path string, offset long, value binary")
+    return cut.select("path", F.expr(f"offset div {length}").alias("seq"), "offset", "value")
+
+
 def index_variable(spark: SparkSession, path: str, fmt: RecordFormat, stretch: int = 128 << 20) -> DataFrame:
     """path, start, size: stretches of whole records of variable files, each of about `stretch` bytes.
 

@@ -6,21 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.records import RecordFormat, decode_records
-from ..sources.records import cut_files
+from ..sources.records import cut_files, cut_fixed
 
 
-def read_stream(spark: SparkSession, path: str, fmt: RecordFormat, mode: str = "PERMISSIVE", glob: str = "*") -> DataFrame:
+def read_stream(spark: SparkSession, path: str, fmt: RecordFormat, mode: str = "PERMISSIVE", glob: str = "*", whole: int = 0) -> DataFrame:
     """Record files that arrive in a folder, decoded; `_path`, `_seq` and `_offset` say where from.
 
-    Each file is one row of bytes until it is cut, so this is for files of moderate size; large
-    ones belong to the batch source, which splits them.
+    Files are read by their paths through Arrow's file systems: fixed-length ones in stretches
+    that are dealt over the cluster, variable ones streamed by one task each, whatever their
+    size. For file systems that only Spark knows, `whole` names the size up to which files are
+    fetched by Spark, in one piece each.
     """
-    length = fmt.layout.length
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", glob).load(path)
-    if fmt.layout.variable:
-        cut = cut_files(files, fmt).withColumnsRenamed({"path": "_path", "seq": "_seq", "offset": "_offset"})
-        return decode_records(cut, fmt, "value", mode, keep=("_path", "_seq", "_offset"))
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.length("content") / length).cast("int") - 1))
-    cut = files.where(F.length("content") > 0).select(F.col("path").alias("_path"), F.posexplode(F.transform(starts, lambda i: F.substring("content", i * length + 1, F.lit(length)))).alias("_seq", "value"))
-    cut = cut.withColumn("_offset", F.col("_seq").cast("long") * length)
-    return decode_records(cut, fmt, "value", mode, keep=("_path", "_seq", "_offset"))
+    named = files.select("path", "length", F.lit(None).cast("binary").alias("content"))
+    if whole > 0:
+        named = files.where(F.col("length") <= whole).select("path", "length", "content").unionByName(named.where(F.col("length") > whole))
+    cut = cut_files(named, fmt) if fmt.layout.variable else cut_fixed(named, fmt.layout.length)
+    return decode_records(cut.withColumnsRenamed({"path": "_path", "seq": "_seq", "offset": "_offset"}), fmt, "value", mode, keep=("_path", "_seq", "_offset"))

@@ -257,6 +257,23 @@ def test_stream(spark, tmp_path):
     assert [tuple(r) for r in spark.sql("SELECT T, int(k) FROM records").collect()] == [("ab", 435)]
 
 
+@pytest.mark.parametrize("whole", [0, 1 << 20])
+def test_long_files_of_a_stream_are_split(spark, tmp_path, monkeypatch, whole):
+    monkeypatch.setattr(source, "STRETCH", 600, raising=False)
+    monkeypatch.setattr(source, "PIECE", 64)
+    f = RecordFormat.of("01 R. 05 K PIC 9(4) COMP. 05 T PIC X(2).", "ibm", "ibm", "std")
+    source.write_records(spark.range(1000).select(F.col("id").alias("K"), F.lit("ab").alias("T")).coalesce(1), f, f"{tmp_path}/in")
+    (own,) = (tmp_path / "in").glob("part-*")
+    own.write_bytes(own.read_bytes()[:-1])  # the last record is short
+    got = []
+    rows = streaming.read_stream(spark, f"{tmp_path}/in", f, glob="part-*", **({"whole": whole} if whole else {})).withColumn("task", F.spark_partition_id())
+    query = rows.writeStream.foreachBatch(lambda batch, _: got.extend(batch.collect())).option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got.sort(key=lambda r: r["_seq"])
+    assert [(r["_seq"], r["_offset"], int(r["K"]), len(r["_faults"])) for r in got] == [(k, 4 * k, k, int(k == 999)) for k in range(1000)]
+    assert whole or len({r["task"] for r in got}) > 1
+
+
 def test_tokens():
     got = [(t.type, t.value) for t in lexer.tokenize("MOVE -1.5 TO A(2). *> x\nIF A >= 'it''s' ==:T:==")]
     assert got == [("Identifier", "MOVE"), ("Number", "-1.5"), ("Identifier", "TO"), ("Identifier", "A"), ("Symbol", "("), ("Number", "2"), ("Symbol", ")"), ("Symbol", "."), ("Comment", "*> x"), ("Identifier", "IF"), ("Identifier", "A"), ("Symbol", ">="), ("String", "'it''s'"), ("PseudoText", "==:T:==")]

@@ -282,7 +282,7 @@ SELECT p_partkey AS partkey, '01 part-' || p_partkey || '.' || chr(10) || '    0
 def picture_info_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     """picture_info() as a scalar SQL function over the pictures that the sizes of all parts make."""
     source.register_functions(spark)
-    table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("S9("), F.col("p_size").cast("string"), F.lit(")V99")).alias("p")).createOrReplaceTempView("mainspring_pictures")
+    source.spread(table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("S9("), F.col("p_size").cast("string"), F.lit(")V99")).alias("p"))).createOrReplaceTempView("mainspring_pictures")
     return spark.sql("SELECT p_partkey, i.category, i.digits, i.scale, i.signed, i.size FROM (SELECT p_partkey, picture_info(p) AS i FROM mainspring_pictures)")
 
 
@@ -292,7 +292,7 @@ PICTURE_INFO_SQL = "SELECT p_partkey, 'numeric' AS category, p_size + 2 AS digit
 def token_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     """cobol_tokens() as a table function, joined laterally to statements made of the names of all customers."""
     source.register_functions(spark)
-    table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("DISPLAY '"), F.col("c_name"), F.lit("' "), F.col("c_custkey").cast("string"), F.lit(".")).alias("s")).createOrReplaceTempView("mainspring_statements")
+    source.spread(table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("DISPLAY '"), F.col("c_name"), F.lit("' "), F.col("c_custkey").cast("string"), F.lit(".")).alias("s"))).createOrReplaceTempView("mainspring_statements")
     return spark.sql("SELECT c_custkey, t.seq, t.col, t.type, t.value FROM mainspring_statements, LATERAL cobol_tokens(s) t")
 
 

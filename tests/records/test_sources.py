@@ -108,3 +108,10 @@ def test_copybooks_of_a_folder_and_its_libraries(spark):
         assert [e.name for e in copybook.parse_entries("01 R. " + text, resolver=books)] == ["R", name]
     with pytest.raises(errors.CopyBookNotFoundError):
         copybook.parse_entries("01 R. COPY PART OF NOWHERE.", resolver=books)
+
+
+def test_sources_of_one_split_are_parsed_by_many_tasks(spark):
+    own = spark.range(9000).coalesce(1).selectExpr("string(id) AS path", "IF(id = 7, NULL, '01 a-' || id || ' pic 9.') AS content")
+    got = source.printed(own, fragment=True).selectExpr("*", "spark_partition_id() AS task").collect()
+    assert len({r["task"] for r in got}) > 1
+    assert Counter((r["path"], r["text"]) for r in got) == Counter((str(k), f"01 a-{k} PIC 9.\n") for k in range(9000) if k != 7)

@@ -145,12 +145,19 @@ def record_join_any(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.join(orders, own["custkey"] == orders["o_custkey"], "left_anti")
 
 
+#: Lines of an order that are put into records together.
+DEALT = 1280
+
+
 def _lines(clause: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         """Every line of every order, one table a record, as long as the order with most lines needs."""
         lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("ORDER-KEY"), F.struct(F.col("l_linenumber").alias("LINE-NUMBER"), F.col("l_partkey").alias("PART"), F.col("l_quantity").cast("int").alias("QUANTITY")).alias("line"))
-        place = F.floor(F.pmod(F.xxhash64("line"), F.lit(64)))  # so an order of any number of lines spreads over records
-        own = lines.groupBy("ORDER-KEY", place.alias("part")).agg(F.array_sort(F.collect_list("line")).alias("LINES"))
+        # Orders are whole in one group each; one of very many lines is dealt over more, so none grows long and no record is filled for a line or two.
+        parts = F.ceil(F.col("n") / DEALT).cast("int").alias("parts")
+        heavy = lines.groupBy("ORDER-KEY").agg(F.count("*").alias("n")).where(F.col("n") > DEALT).select("ORDER-KEY", parts)
+        place = F.pmod(F.monotonically_increasing_id(), F.coalesce("parts", F.lit(1)))
+        own = lines.join(F.broadcast(heavy), "ORDER-KEY", "left").groupBy("ORDER-KEY", place.alias("part")).agg(F.array_sort(F.collect_list("line")).alias("LINES"))
         own = own.select("ORDER-KEY", F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.size("LINES") - 1) / 20).cast("int")), lambda k: F.slice("LINES", k * 20 + 1, F.lit(20)))).alias("LINES")).withColumn("LINE-COUNT", F.size("LINES"))
         f = fmt(ORDER % clause)
         out = decode_records(encode_records(own, f), f)

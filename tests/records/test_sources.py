@@ -115,3 +115,16 @@ def test_sources_of_one_split_are_parsed_by_many_tasks(spark):
     got = source.printed(own, fragment=True).selectExpr("*", "spark_partition_id() AS task").collect()
     assert len({r["task"] for r in got}) > 1
     assert Counter((r["path"], r["text"]) for r in got) == Counter((str(k), f"01 a-{k} PIC 9.\n") for k in range(9000) if k != 7)
+
+
+@pytest.mark.parametrize("name", ["occurs_every_line", "odo_every_line"])
+def test_lines_of_an_order_share_records(spark, tmp_path, monkeypatch, name):
+    monkeypatch.setattr(table_queries, "DEALT", 100, raising=False)
+    rows = [(k, n, k * 7 + n, 1.0) for k in range(50) for n in range(1, 8)] + [(99, n % 9 + 1, n % 3, 2.0) for n in range(1000)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    records, encode = [], table_queries.encode_records
+    monkeypatch.setattr(table_queries, "encode_records", lambda df, f: records.append(df) or encode(df, f))
+    got = Counter(map(tuple, table_queries.queries_and_sql()[name][0](spark, str(tmp_path)).collect()))
+    assert got == Counter((a, b, c, int(d)) for a, b, c, d in rows)
+    held = Counter(r["ORDER-KEY"] for r in records[0].select("ORDER-KEY").collect())
+    assert all(held[k] == 1 for k in range(50)) and 50 <= held[99] <= 60
